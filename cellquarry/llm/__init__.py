@@ -1,8 +1,13 @@
 """Operators for preparing training data; nothing else in the library imports them."""
 
+from .decontamination import op5_decontamination
+from .language_id import op1_language_id
 from .ngram_join import op8_ngram_jaccard_join
+from .secret_scan import op10_secret_scan
+from .source_mix import op7_source_mix
 
 QUERIES = {
-    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    f.__name__: f
+    for f in (op1_language_id, op5_decontamination, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
