@@ -10,9 +10,9 @@ their probability to meet (Horvitz-Thompson), and the prefix is shortened again
 where this audit falls below the target.
 
 Verification is exact on the sets of 64-bit hashes and never makes a row for a
-pair.  A set's home is its largest trie node; homes are divided by hash into
-blocks of about ``block`` sets; only pairs of blocks that share a trie node are
-compared, each pair of sets in one place alone, by products of incidence
+pair.  A set's home is the largest trie node among its own nodes and those its
+neighbours in them have; homes are divided by hash into blocks of about
+``block`` sets; only pairs of blocks that share a trie node are compared, each pair of sets in one place alone, by products of incidence
 matrices.  A comparison returns a row per set: its links and its root in a
 forest of the links found there.  Equal sets were one row before all this.
 """
@@ -198,9 +198,11 @@ def _round(docs: DataFrame, width, threshold, trees, depth, prefix, block):
     nodes = sets.select("set_id", F.explode("keys").alias("node"))
     shared = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     nodes = stored(nodes.join(shared, "node"), "nodes")
-    home = nodes.groupBy("set_id").agg(F.max(F.struct("members", "node")).alias("h"))
-    homes = home.groupBy(F.col("h.node").alias("home")).agg(F.count("*").alias("n"))
-    home = home.select("set_id", F.col("h.node").alias("home")).join(homes, "home")
+    largest = nodes.groupBy("set_id").agg(F.max(F.struct("members", "node")).alias("h"))
+    around = nodes.join(largest, "set_id").groupBy("node").agg(F.max("h").alias("h"))  # the largest next to a node
+    home = nodes.select("set_id", "node").join(around, "node").groupBy("set_id").agg(F.max("h").alias("h"))
+    home = home.select("set_id", F.col("h.node").alias("home"))
+    home = home.join(home.groupBy("home").agg(F.count("*").alias("n")), "home")
     blocks = stored(
         home.select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id", F.lit(SEED)), F.ceil(F.col("n") / block))).alias("block")), "blocks"
     )
