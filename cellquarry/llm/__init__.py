@@ -6,9 +6,10 @@ from .ngram_join import op8_ngram_jaccard_join
 from .secret_scan import op10_secret_scan
 from .source_mix import op7_source_mix
 from .toxicity import op6_toxicity
+from .url_filter import op2_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
+    for f in (op1_language_id, op2_url_filter, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -24,9 +24,9 @@ from .textkit import U64, Words, mix, word_batches
 HASH_BITS = 20
 ORDERS = (2, 3, 4, 5, 6)
 #: Labelled documents of each label in the training sample (the documented bound).
-TRAIN_PER_LABEL = 1000
+TRAIN_PER_LABEL = 1500
 RIDGE = 0.01
-STEPS = 100
+STEPS = 120
 
 
 @dataclass
