@@ -7,9 +7,22 @@ from .secret_scan import op10_secret_scan
 from .source_mix import op7_source_mix
 from .toxicity import op6_toxicity
 from .url_filter import op2_url_filter
+from .warc import op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_url_filter, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
+    for f in (op1_language_id, op2_url_filter, op4_warc, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), h AS (
+            SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN head <> page_id THEN head END AS refers_to
+        FROM p LEFT JOIN h USING (payload_digest)
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
