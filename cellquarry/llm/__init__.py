@@ -3,6 +3,7 @@
 from .decontamination import op5_decontamination
 from .embedding_dedup import op3_embedding_near_dedup
 from .language_id import op1_language_id
+from .masked_lm import op9_masked_lm_score
 from .ngram_join import op8_ngram_jaccard_join
 from .secret_scan import op10_secret_scan
 from .source_mix import op7_source_mix
@@ -12,7 +13,7 @@ from .warc import op4_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_url_filter, op3_embedding_near_dedup, op4_warc, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op10_secret_scan)
+    for f in (op1_language_id, op2_url_filter, op3_embedding_near_dedup, op4_warc, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op9_masked_lm_score, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
