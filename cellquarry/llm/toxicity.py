@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .textkit import U64, Words, mix, word_batches
 
-HASH_BITS = 20
+HASH_BITS = 19
 ORDERS = (2, 3, 4, 5, 6)
 #: Labelled documents of each label in the training sample (the documented bound).
-TRAIN_PER_LABEL = 1500
+TRAIN_PER_LABEL = 1000
 RIDGE = 0.01
 STEPS = 120
 
@@ -68,28 +68,29 @@ def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
     """Fits the classifier to (text, label) pairs."""
-    hashes: dict[str, list[np.ndarray]] = {"doc": [], "word": [], "owner": [], "slot": []}
-    vocabulary = np.zeros(0, np.uint64)
-    parts = []
+    docs, words_of, owners, slots = [], [], [], []
+    place: dict[int, int] = {}  # of each distinct word; a word's features are made once
     for words in word_batches([t for t, _ in rows]):
         first, text, which = _distinct(words)
-        own = words.hashes()[first]
-        parts.append((own, *word_features(words, first)))
-        hashes["doc"].append(text + words.first)
-        hashes["word"].append(own[which])
-    vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
-    seen = np.zeros(len(vocabulary), bool)
-    for own, owner, slot in parts:
-        place = np.searchsorted(vocabulary, own)
-        new = ~seen[place][owner]
-        hashes["owner"].append(place[owner][new])
-        hashes["slot"].append(slot[new])
-        seen[place] = True
-    doc, word = np.concatenate(hashes["doc"]), np.searchsorted(vocabulary, np.concatenate(hashes["word"]))
-    owner, slot = np.concatenate(hashes["owner"]), np.concatenate(hashes["slot"])
-    used, slot = np.unique(slot, return_inverse=True)
+        own = words.hashes()[first].tolist()
+        new = np.array([i for i, h in enumerate(own) if h not in place], np.int64)
+        begin = len(place)
+        place.update((own[i], begin + k) for k, i in enumerate(new))
+        at = np.array([place[h] for h in own], np.int32)
+        docs.append((text + words.first).astype(np.int32))
+        words_of.append(at[which])
+        if len(new):
+            owner, slot = word_features(words, first[new])
+            owners.append((owner + begin).astype(np.int32))
+            slots.append(slot.astype(np.int32))
+    doc, word, owner, slot = (np.concatenate(x) for x in (docs, words_of, owners, slots))
+    del docs, words_of, owners, slots
+    present = np.zeros(1 << HASH_BITS, bool)
+    present[slot] = True
+    used = np.flatnonzero(present)
+    slot = (np.cumsum(present, dtype=np.int32) - 1)[slot]
     y = np.array([label for _, label in rows], np.float64)
-    n, v, m = len(rows), len(vocabulary), len(used)
+    n, v, m = len(rows), len(place), len(used)
     words_in = np.stack([np.bincount(word, y[doc] == c, v) for c in (0, 1)])
     counts = np.stack([np.bincount(slot, c[owner], m) for c in words_in]) + 1.0
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
