@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squash
+from .text import let, squash
 
 #: Dash glyphs that mean zero, and currency words behind a number.
 DASHES = ("-", "–", "—", "−")
@@ -25,6 +25,10 @@ def localized_double(x: Column) -> Column:
     if there are several or exactly three digits follow; a comma alone is
     decimal; several commas alone are no number.
     """
+    return let(x, _localized)
+
+
+def _localized(x: Column) -> Column:
     dots, commas = F.regexp_count(x, F.lit(r"\.")), F.regexp_count(x, F.lit(","))
     grouped = F.replace(x, F.lit("."), F.lit(""))
     comma_decimal = F.replace(grouped, F.lit(","), F.lit("."))
@@ -36,21 +40,29 @@ def localized_double(x: Column) -> Column:
 
 def parse_number(raw: Column, dash_value: float = 0.0) -> Column:
     """struct(value, is_missing, is_dash, is_percent); a percentage keeps its face value."""
-    text = squash(raw)
-    missing, dash = raw.isNull() | (text == ""), text.isin(*DASHES)
-    bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
+    return let(squash(raw), lambda text: _parsed(text, dash_value))
+
+
+def _parsed(text: Column, dash_value: float) -> Column:
+    missing, dash = text.isNull() | (text == ""), F.coalesce(text.isin(*DASHES), F.lit(False))
+    bracketed = F.coalesce(text.startswith("(") & text.endswith(")") & (F.length(text) > 1), F.lit(False))
     inner = F.when(bracketed, squash(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
     digits = F.replace(F.regexp_replace(inner, CURRENCY, ""), F.lit(" "), F.lit(""))
-    fits = digits.rlike(NUMERIC)
-    value = localized_double(F.rtrim(F.replace(digits, F.lit("%"), F.lit(""))))
-    value = F.when(bracketed, -value).otherwise(value)
-    finite = fits & value.isNotNull() & (F.abs(value) != float("inf"))
-    number = F.when(missing, F.lit(None)).when(dash, F.lit(float(dash_value))).when(finite, value)
-    return F.struct(
-        number.cast("double").alias("value"),
-        missing.alias("is_missing"),
-        F.coalesce(dash, F.lit(False)).alias("is_dash"),
-        F.coalesce(~dash & finite & digits.endswith("%"), F.lit(False)).alias("is_percent"),
+
+    def number(d: Column) -> Column:
+        value = F.when(d.rlike(NUMERIC), localized_double(F.replace(d, F.lit("%"), F.lit(""))))
+        return F.when(F.abs(value) != float("inf"), value)
+
+    signed = lambda v: F.when(bracketed, -v).otherwise(v)
+    read = let(digits, lambda d: F.struct(number(d).alias("v"), d.endswith("%").alias("percent")))
+    return let(
+        read,
+        lambda r: F.struct(
+            F.when(missing, F.lit(None)).when(dash, F.lit(float(dash_value))).otherwise(signed(r["v"])).cast("double").alias("value"),
+            missing.alias("is_missing"),
+            dash.alias("is_dash"),
+            F.coalesce(~dash & r["v"].isNotNull() & r["percent"], F.lit(False)).alias("is_percent"),
+        ),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -22,6 +23,15 @@ ADDRESS = r"(?i)(Street|Floor|Tower|District|Ward|City|Vietnam|Chi Minh|Hanoi|Ha
 PLAIN_PUNCTUATION = {"–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", "’": "'", "‘": "'", "“": '"', "”": '"', "…": "..."}
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Columns are trees: a long expression that names its input in many places
+    would be copied into each.  A one-element transform binds it instead.
+    """
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def squash(x: Column) -> Column:
     """White space (any Unicode kind) collapsed to one space and trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)[\s ]+", " "))

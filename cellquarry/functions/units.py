@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_compact, ascii_words, squash
+from .text import ascii_compact, ascii_words, let, squash
 
 UNKNOWN = "UNKNOWN"
 
@@ -71,7 +71,10 @@ def is_declaration(line: Column) -> Column:
 
 def detect_unit(line: Column) -> Column:
     """The unit one line names; UNKNOWN if none, and for null."""
-    compact, low = ascii_compact(line), F.lower(squash(line))
+    return let(F.struct(ascii_compact(line).alias("compact"), F.lower(squash(line)).alias("low")), lambda x: _named(x["compact"], x["low"]))
+
+
+def _named(compact: Column, low: Column) -> Column:
     worth = has_any(compact, VALUE_OF_SHARES)
     out = None
     for unit, words in SOURCE_PATTERNS:
@@ -92,14 +95,18 @@ def table_unit(context: Column, headers: Column, inherited: Column) -> Column:
     """A nearby declaration, else an inherited one, else the only unit that headers name."""
     declared = F.filter(F.transform(F.filter(F.reverse(context), is_declaration), detect_unit), lambda u: u != UNKNOWN)
     named = F.array_distinct(F.filter(F.transform(headers, detect_unit), lambda u: u != UNKNOWN))
-    agreed = F.when(F.size(named) == 1, F.get(named, F.lit(0)))
-    return F.coalesce(F.get(declared, F.lit(0)), F.nullif(detect_unit(inherited), F.lit(UNKNOWN)), agreed, F.lit(UNKNOWN))
+    agreed = let(named, lambda n: F.when(F.size(n) == 1, F.get(n, F.lit(0))))
+    return F.coalesce(F.get(declared, F.lit(0)), _known(inherited), agreed, F.lit(UNKNOWN))
+
+
+def _known(x: Column) -> Column:
+    """The unit a label names; null if none."""
+    return let(detect_unit(x), lambda u: F.when(u != UNKNOWN, u))
 
 
 def cell_unit(table: Column, row_label: Column, column_label: Column) -> Column:
     """The column's unit, else the row's, else the table's."""
-    known = lambda x: F.nullif(detect_unit(x), F.lit(UNKNOWN))
-    return F.coalesce(known(column_label), known(row_label), table)
+    return F.coalesce(_known(column_label), _known(row_label), table)
 
 
 def _lookup(table: dict, key: Column, default=None) -> Column:
@@ -145,13 +152,17 @@ def _semantic(compact: Column) -> Column:
 
 def detect_target(question: Column) -> Column:
     """struct(unit, divisor, confidence) of the answer that a question wants."""
-    whole, tail = ascii_compact(question), F.regexp_replace(target_tail(question), "[^a-z0-9]+", "")
-    meaning = _semantic(whole)
+    tail = F.regexp_replace(target_tail(question), "[^a-z0-9]+", "")
+    both = F.struct(ascii_compact(question).alias("whole"), tail.alias("tail"), F.contains(question, F.lit("%")).alias("percent"))
+    return let(both, lambda x: let(_semantic(x["whole"]), lambda meaning: _target_of(x["whole"], x["tail"], x["percent"], meaning)))
+
+
+def _target_of(whole: Column, tail: Column, percent: Column, meaning: Column) -> Column:
     return F.coalesce(
         _explicit(tail),
         _semantic(tail),
         F.when(meaning["unit"] == "YEAR", meaning),
-        F.when(F.contains(question, F.lit("%")), _target("PERCENT")),
+        F.when(percent, _target("PERCENT")),
         _explicit(whole),
         meaning,
         F.when(has_any(whole, SHARES), _target("SHARES", 1.0, 0.98)),

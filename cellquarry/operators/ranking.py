@@ -70,7 +70,7 @@ def scope_filter(ranked: DataFrame, manifest: DataFrame, policy: str) -> DataFra
     same = Window.partitionBy("qid", "ticker", "report_year")
     there = F.coalesce(F.max((F.col("own") == F.col("target")).cast("int")).over(same), F.lit(0)) == 1
     against = F.col("own").isin(*DECLARED) & (F.col("own") != F.col("target")) & there & F.col("target").isin(*DECLARED)
-    return out.where(~F.coalesce(against, F.lit(False))).select(*ranked.columns)
+    return out.withColumn("_against", F.coalesce(against, F.lit(False))).where("not _against").select(*ranked.columns)
 
 
 def rerank(candidates: DataFrame, top_k: int) -> DataFrame:

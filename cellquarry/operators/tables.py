@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_numeric, parse_number
-from ..functions.text import ascii_words, tidy
+from ..functions.text import ascii_words, let, tidy
 from ..functions.units import cell_unit, table_unit, to_base
 
 TABLE = re.compile(r"<table\b[^>]*>.*?</table\s*>", re.I | re.S)
@@ -29,6 +29,8 @@ PARSED = (
 )
 #: Spans beyond this are taken as this; no real table is wider or taller.
 MOST_SPAN = 1000
+#: Characters of markup that one output batch holds.
+BATCH_CHARACTERS = 4_000_000
 
 
 class _Rows(html.parser.HTMLParser):
@@ -156,12 +158,18 @@ def parse_reports(reports: DataFrame, keep: list[str]) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=[*keep, *columns]).astype({"page_no": "Int32"})
         for pdf in batches:
-            for i, text in enumerate(pdf["text"]):
-                rows = [{**pdf.iloc[i][keep].to_dict(), **t} for t in _walk(text or "")]
-                if rows:
-                    out = pd.DataFrame(rows, columns=[*keep, *columns])
-                    yield out.astype({"page_no": "Int32"})
+            rows, size = [], 0
+            for own, text in zip(pdf[keep].itertuples(index=False, name=None), pdf["text"], strict=True):
+                for t in _walk(text or ""):
+                    rows.append((*own, *(t[c] for c in columns)))
+                    size += len(t["html"])
+                    if size > BATCH_CHARACTERS:
+                        yield frame(rows)
+                        rows, size = [], 0
+            if rows:
+                yield frame(rows)
 
     return reports.select(*keep, "text").mapInPandas(run, f"{kinds}, {PARSED}")
 
@@ -200,8 +208,12 @@ def combined_headers(matrix: Column, rows: Column) -> Column:
         return F.coalesce(F.nullif(F.concat_ws(" | ", distinct), F.lit("")), F.concat(F.lit("column_"), (c + 1).cast("string")))
 
     labels = F.transform(F.sequence(F.lit(0), width - 1), label)
-    seen = lambda i, v: F.size(F.filter(F.slice(labels, F.lit(1), i + 1), lambda w: w == v))
-    numbered = F.transform(labels, lambda v, i: F.when(seen(i, v) == 1, v).otherwise(F.concat(v, F.lit("__"), seen(i, v).cast("string"))))
+
+    def number(all_: Column) -> Column:
+        seen = lambda i, v: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda w: w == v))
+        return F.transform(all_, lambda v, i: let(seen(i, v), lambda n: F.when(n == 1, v).otherwise(F.concat(v, F.lit("__"), n.cast("string")))))
+
+    numbered = let(labels, number)
     return F.when(F.coalesce(width, F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(numbered)
 
 
@@ -221,7 +233,9 @@ CELL_COLUMNS = [*CELL_KEYS, "source_unit", "row_index", "column_index", "row_lab
 
 def to_cells(tables: DataFrame) -> DataFrame:
     """The cell relation: a row per body cell, labels included.  Needs `with_structure` and the keys."""
-    rows = tables.select(*CELL_KEYS, "unit", "headers", F.posexplode("rows").alias("row_index", "row"))
+    # The matrix itself is exploded, not an expression over it that the optimizer would copy into filters.
+    rows = tables.select(*CELL_KEYS, "unit", "headers", "header_rows", F.posexplode("matrix").alias("at", "row"))
+    rows = rows.where("at >= header_rows").withColumn("row_index", F.col("at") - F.col("header_rows"))
     row_label = F.coalesce(F.get("row", F.lit(0)), F.lit(""))
     cells = rows.select(*CELL_KEYS, "unit", "headers", "row_index", row_label.alias("row_label"), F.posexplode("row").alias("column_index", "raw_value"))
     cells = cells.withColumn("column_label", F.coalesce(F.get("headers", F.col("column_index")), F.concat(F.lit("column_"), (F.col("column_index") + 1).cast("string"))))
@@ -232,10 +246,12 @@ def to_cells(tables: DataFrame) -> DataFrame:
 
 def distinct_labels(values: Column, limit: int) -> Column:
     """First occurrences of labels that are no number, compared without case, at most ``limit``."""
-    words = F.filter(values, lambda v: (v != "") & ~is_numeric(v))
-    folded = F.transform(words, lambda v: F.lower(v))
-    first = F.filter(F.transform(words, lambda v, i: F.when(F.array_position(folded, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull())
-    return F.slice(first, 1, limit)
+
+    def first(words: Column) -> Column:
+        alike = lambda folded: F.transform(words, lambda v, i: F.when(F.array_position(folded, F.lower(v)) == i + 1, v))
+        return F.filter(let(F.transform(words, lambda v: F.lower(v)), alike), lambda v: v.isNotNull())
+
+    return F.slice(let(F.filter(values, lambda v: (v != "") & ~is_numeric(v)), first), 1, limit)
 
 
 def retrieval_text(ticker: Column, year: Column, scope: Column, section: Column, context: Column, headers: Column, labels: Column) -> Column:

@@ -140,7 +140,7 @@ def order_tables(spark, sf) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS row_index FROM lineitem)
+    WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '<') - 1 AS INTEGER) AS row_index FROM lineitem)
     SELECT CAST(l_orderkey AS VARCHAR) || '|table_1' AS table_ref, row_index, c AS column_index, 'Part ' || l_partkey AS row_label,
            CASE c WHEN 0 THEN 'Chỉ tiêu' WHEN 1 THEN 'Kỳ | Số lượng' ELSE 'Kỳ | Dòng' END AS column_label,
            CASE c WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) WHEN 2 THEN -CAST(l_linenumber AS DOUBLE) END AS numeric_value,
@@ -243,7 +243,7 @@ def rank_fusion(spark, sf):
 
 @query(f"""
     WITH {_TWO}, o AS (SELECT qid, ref, rank, source, row_number() OVER (PARTITION BY qid, ref ORDER BY rank, source) AS n FROM r)
-    SELECT qid, ref, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank, source) AS INTEGER) AS rank FROM o WHERE n = 1 QUALIFY rank <= 7
+    SELECT qid, ref, CAST(place AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, source) AS place FROM o WHERE n = 1) WHERE place <= 7
 """)
 def balanced_round_robin(spark, sf):
     """Two lists taking turns, seven places each."""
@@ -283,7 +283,7 @@ def scope_routing(spark, sf):
     WITH {_MANIFEST}, need AS (SELECT qid, y, min(rank) AS rank FROM k GROUP BY ALL),
     mark AS (SELECT k.qid, k.ref, k.rank, CASE WHEN need.rank IS NULL THEN 0 ELSE 1 END AS needed FROM k LEFT JOIN need ON need.qid = k.qid AND need.rank = k.rank),
     pick AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY needed DESC, rank) AS n, sum(needed) OVER (PARTITION BY qid) AS all_needed FROM mark)
-    SELECT qid, ref, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank FROM pick WHERE n <= greatest(5, all_needed) QUALIFY rank <= 5
+    SELECT qid, ref, CAST(place AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM pick WHERE n <= greatest(5, all_needed)) WHERE place <= 5
 """)
 def route_coverage(spark, sf):
     """Five orders of each customer, the best of every year among them."""
@@ -359,7 +359,7 @@ def panel(spark, sf) -> DataFrame:
     """Revenue and orders of every nation by year, as columns; nations with all years."""
     o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     o = o.withColumn("y", F.year("o_orderdate"))
-    g = o.groupBy(F.col("c_nationkey").alias("n_nationkey")).pivot("y", list(PANEL_YEARS)).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count("*").alias("c"))
+    g = o.groupBy(F.col("c_nationkey").alias("n_nationkey")).pivot("y", list(PANEL_YEARS)).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count(F.lit(1)).alias("c"))
     for y in PANEL_YEARS:
         g = g.where(F.col(f"{y}_v").isNotNull())
     return g
@@ -412,7 +412,7 @@ def program_text(spark, sf):
 
 
 @query("""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '<') AS n, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
     SELECT l_orderkey AS id, round(sum(CASE WHEN n = 1 OR n = total THEN CAST(l_quantity AS BIGINT) ELSE 0 END), 6) AS answer,
            CASE WHEN max(total) = 1 THEN NULL ELSE 'VND' END AS dimension, CASE WHEN max(total) = 1 THEN 'DIMENSION' END AS error
     FROM r GROUP BY l_orderkey HAVING max(total) > 1
