@@ -347,10 +347,10 @@ def query_specifications(spark, sf):
 
 # --- programs -------------------------------------------------------------------------------------------------------
 
-PANEL_YEARS = tuple(range(1992, 1999))
+PANEL_YEARS = tuple(range(1995, 2002))
 _PANEL = """
     p AS (SELECT n_nationkey, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-          WHERE year(o_orderdate) BETWEEN 1992 AND 1998 GROUP BY ALL),
+          WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL),
     full_p AS (SELECT * FROM p WHERE n_nationkey IN (SELECT n_nationkey FROM p GROUP BY 1 HAVING count(*) = 7))
 """
 
@@ -388,7 +388,7 @@ def panel_programs() -> dict[str, nodes.Node]:
 
 _PANEL_SQL = f"""
     WITH {_PANEL}, a AS (SELECT *, avg(c) OVER (PARTITION BY n_nationkey) AS ac FROM full_p)
-    SELECT n_nationkey, round(((max(v) FILTER (y = 1998)) - max(v) FILTER (y = 1992)) / max(v) FILTER (y = 1992) * 100, 4) AS growth, round(avg(v), 2) AS mean,
+    SELECT n_nationkey, round(((max(v) FILTER (y = 2001)) - max(v) FILTER (y = 1995)) / max(v) FILTER (y = 1995) * 100, 4) AS growth, round(avg(v), 2) AS mean,
            CAST(arg_max(y, {{'v': v, 'y': -y}}) AS DOUBLE) AS best_year, CAST(count(*) FILTER (c > ac) AS DOUBLE) AS busy_years, round(median(v), 2) AS median,
            CAST(arg_max(y, {{'v': v, 'y': -y}}) FILTER (c <= ac) AS DOUBLE) AS best_of_quiet, round(coalesce(sum(v) FILTER (c > ac), 0), 2) AS sum_of_busy
     FROM a GROUP BY n_nationkey
