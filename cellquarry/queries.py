@@ -741,17 +741,18 @@ def yearly_changes(spark, sf):
     return synthesis.changes(yearly_revenue(spark, sf)).select("ticker", "from_year", "report_year", F.round("answer", 4).alias("answer"))
 
 
-@query(f"""
-    WITH {_YEARLY}, s AS (SELECT ticker, list({{'y': report_year, 'g': orders, 'v': v}} ORDER BY report_year) AS rows, list_sort(list(orders)) AS g FROM y GROUP BY 1 HAVING count(*) >= 3),
-    t AS (SELECT ticker, rows, g[greatest(0, CAST(floor(len(g) / 2) AS INTEGER) - 1) + 1] AS threshold FROM s),
+@query("""
+    WITH y AS (SELECT l_suppkey AS key, CAST(year(l_shipdate) AS INTEGER) AS y, count(*) AS g, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY ALL),
+    s AS (SELECT key, list({'y': y, 'g': g, 'v': v} ORDER BY y) AS rows, list_sort(list(g)) AS gs FROM y GROUP BY 1 HAVING count(*) >= 3),
+    t AS (SELECT key, rows, gs[greatest(0, CAST(floor(len(gs) / 2) AS INTEGER) - 1) + 1] AS threshold FROM s),
     k AS (SELECT *, list_filter(rows, lambda r: r.g > threshold) AS kept FROM t),
-    b AS (SELECT *, list_sort(list_transform(kept, lambda r: {{'k': -r.v, 'y': r.y}})) AS bk, list_sort(list_transform(rows, lambda r: {{'k': -r.v, 'y': r.y}})) AS bp FROM k)
-    SELECT ticker AS key, threshold, CAST(len(kept) AS INTEGER) AS top_n, CAST(len(rows) AS INTEGER) AS of_years, -bk[1].k AS answer FROM b WHERE len(kept) >= 2 AND bk[1].y <> bp[1].y
+    b AS (SELECT *, list_sort(list_transform(kept, lambda r: {'k': -r.v, 'y': r.y})) AS bk, list_sort(list_transform(rows, lambda r: {'k': -r.v, 'y': r.y})) AS bp FROM k)
+    SELECT key, threshold, CAST(len(kept) AS INTEGER) AS top_n, CAST(len(rows) AS INTEGER) AS of_years, -bk[1].k AS answer FROM b WHERE len(kept) >= 2 AND bk[1].y <> bp[1].y
 """)
 def conditional_extrema(spark, sf):
-    """The best year among the busier ones, where that is not the best of all."""
-    y = yearly_revenue(spark, sf)
-    return synthesis.conditionals(y.select(F.col("ticker").alias("key"), F.col("report_year").alias("year"), F.col("orders").alias("gate"), F.col("base_value").alias("value")))
+    """Each supplier's best year among the busier ones, where that is not the best of all."""
+    y = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("year"))
+    return synthesis.conditionals(y.agg(F.count("*").alias("gate"), F.round(F.sum("l_extendedprice"), 2).alias("value")))
 
 
 @query(f"""
