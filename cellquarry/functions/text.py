@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -83,12 +84,17 @@ def content_words(x: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS)))
 
 
+_WIDE = re.compile("[！-～　]")
+
+
 def _tidy(text: str | None) -> str | None:
     if text is None:
         return None
     if "<" not in text:
         text = html.unescape(text)
-    wide = "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" or c == "　" else c for c in text)
+    if text.isascii():
+        return " ".join(text.split())
+    wide = text if not _WIDE.search(text) else "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" or c == "　" else c for c in text)
     for fancy, plain in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"')):
         wide = wide.replace(fancy, plain)
     return " ".join(unicodedata.normalize("NFC", wide).split())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_numeric, parse_number
 from ..functions.text import ascii_words, let, tidy
-from ..functions.units import cell_unit, table_unit, to_base
+from ..functions.units import detect_unit, table_unit, to_base
 
 TABLE = re.compile(r"<table\b[^>]*>.*?</table\s*>", re.I | re.S)
 PAGE = re.compile(r"^=====\s*PAGE\s+(\d+)\s*=====\s*$", re.I)
@@ -234,13 +234,16 @@ CELL_COLUMNS = [*CELL_KEYS, "source_unit", "row_index", "column_index", "row_lab
 def to_cells(tables: DataFrame) -> DataFrame:
     """The cell relation: a row per body cell, labels included.  Needs `with_structure` and the keys."""
     # The matrix itself is exploded, not an expression over it that the optimizer would copy into filters.
-    rows = tables.select(*CELL_KEYS, "unit", "headers", "header_rows", F.posexplode("matrix").alias("at", "row"))
-    rows = rows.where("at >= header_rows").withColumn("row_index", F.col("at") - F.col("header_rows"))
-    row_label = F.coalesce(F.get("row", F.lit(0)), F.lit(""))
-    cells = rows.select(*CELL_KEYS, "unit", "headers", "row_index", row_label.alias("row_label"), F.posexplode("row").alias("column_index", "raw_value"))
+    # Units are read once for each header and each row, not for each cell.
+    rows = tables.withColumn("header_units", F.transform("headers", detect_unit))
+    rows = rows.select(*CELL_KEYS, "unit", "headers", "header_units", "header_rows", F.posexplode("matrix").alias("at", "row"))
+    rows = rows.where("at >= header_rows").withColumn("row_label", F.coalesce(F.get("row", F.lit(0)), F.lit("")))
+    rows = rows.select(*CELL_KEYS, "unit", "headers", "header_units", (F.col("at") - F.col("header_rows")).alias("row_index"), "row_label", detect_unit(F.col("row_label")).alias("row_unit"), "row")
+    cells = rows.select(*[c for c in rows.columns if c != "row"], F.posexplode("row").alias("column_index", "raw_value"))
     cells = cells.withColumn("column_label", F.coalesce(F.get("headers", F.col("column_index")), F.concat(F.lit("column_"), (F.col("column_index") + 1).cast("string"))))
-    cells = cells.withColumn("source_unit", cell_unit(F.col("unit"), F.col("row_label"), F.col("column_label"))).withColumn("n", parse_number(F.col("raw_value")))
-    cells = cells.withColumn("numeric_value", F.col("n.value")).withColumn("base_value", to_base(F.col("numeric_value"), F.col("source_unit")))
+    named = lambda u: F.nullif(u, F.lit("UNKNOWN"))
+    cells = cells.withColumn("source_unit", F.coalesce(named(F.get("header_units", F.col("column_index"))), named(F.col("row_unit")), F.col("unit")))
+    cells = cells.withColumn("n", parse_number(F.col("raw_value"))).withColumn("numeric_value", F.col("n.value")).withColumn("base_value", to_base(F.col("numeric_value"), F.col("source_unit")))
     return cells.withColumn("is_dash", F.col("n.is_dash")).withColumn("is_missing", F.col("n.is_missing")).select(*CELL_COLUMNS)
 
 
