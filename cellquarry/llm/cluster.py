@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +52,38 @@ def drop_stored(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(columns: list[str]) -> list[Column]:
+    """``columns`` under positional names, so that no name can clash with an operator's own."""
+    return [F.col(f"`{c.replace('`', '``')}`").alias(f"_p{i}") for i, c in enumerate(columns)]
+
+
+def restored(df: DataFrame, columns: list[str], results: tuple[str, ...] = ()) -> DataFrame:
+    """Undoes `carried`, with ``results`` after the columns; a result replaces a column of its name."""
+    own = {r.lower() for r in results}
+    return df.select(*[F.col(f"_p{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in own], *results)
+
+
+def annotate(docs: DataFrame, columns: list[str], inputs: list[Column], results: str, judge: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """`carried` columns of ``docs`` and the ``results`` (DDL) that ``judge`` finds for each row.
+
+    ``judge`` gets a batch's values of each of ``inputs`` as lists and yields, for
+    one slice of the batch after another, its first row and a sequence for each
+    result.  Carried columns pass through as Arrow, whatever their type or nulls.
+    """
+    source = docs.select(*carried(columns), *[x.alias(f"_i{i}") for i, x in enumerate(inputs)])
+    found, n = StructType.fromDDL(results), len(columns)
+    kinds = [to_arrow_type(f.dataType) for f in found]
+    names = [f"_p{i}" for i in range(n)] + found.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, *values in judge(*[c.to_pylist() for c in batch.columns[n:]]):
+                part = batch.slice(first, len(values[0])).columns[:n]
+                yield pa.RecordBatch.from_arrays([*part, *[pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]], names=names)
+
+    return source.mapInArrow(run, StructType([*source.schema.fields[:n], *found.fields]))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating stars.
 

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import annotate, carried, restored, stored
 from .textkit import shingle_hashes, word_batches
 
 MIN_MATCH = 4
@@ -28,6 +29,7 @@ COVERAGE = 0.6
 #: Words of benchmark items that a task holds at once.
 BLOCK_WORDS = 2_000_000
 FILTER_BITS = 22
+RESULTS = ("coverage", "item_id", "n_items", "contaminated")
 
 
 @dataclass
@@ -129,56 +131,58 @@ def scan(texts: list[str | None], items: Items, width: int, coverage: float) ->
         yield words.first, best, which, leaked
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
-    held, size = [], 0
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[object, str | None]]]:
+    out, held, size = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).orderBy(id_col).toLocalIterator():
         n = len((row[1] or "").split())
         if held and size + n > BLOCK_WORDS:
-            yield held
+            out.append(held)
             held, size = [], 0
         held.append((row[0], row[1]))
         size += n
-    yield held
+    return [*out, held]
+
+
+def _scanned(docs: DataFrame, columns: list[str], text: Column, block: list[tuple[object, str | None]], width: int, coverage: float) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(prepare(block, width))
+
+    def judge(texts: list[str | None]) -> Iterator[tuple]:
+        items = shared.value
+        for first, best, which, leaked in scan(texts, items, width, coverage):
+            yield first, best, [items.ids[j] if j >= 0 else None for j in which], leaked
+
+    return annotate(docs, columns, [text], "coverage double, item_id long, n_items long", judge)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col="item_id", text_col="text", width: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """``columns`` of ``docs``, ``coverage``, ``item_id`` (best item), ``n_items`` and ``contaminated``.
 
-    A text that is null, empty or shares no window has coverage 0 and a null
+    A result replaces a column of its name.  A text that is null, empty or shares no window has coverage 0 and a null
     item.  Items without words match nothing; an item shorter than the window
     leaks only into a document that is no longer and equal to it.  Of items
     equally covered the one first in id order is given.  Repeated documents are
     judged alike.
     """
-    spark = docs.sparkSession
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    source = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    parts = []
-    for block in _blocks(benchmark, id_col, text_col):
-        shared = spark.sparkContext.broadcast(prepare(block, width))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = shared.value
-            for pdf in batches:
-                for first, best, which, leaked in scan(pdf["_text"].tolist(), items, width, coverage):
-                    out = pdf.iloc[first : first + len(best)][columns].copy()
-                    out["coverage"] = best
-                    out["item_id"] = pd.array([items.ids[j] if j >= 0 else None for j in which], "Int64")
-                    out["n_items"] = leaked
-                    yield out
-
-        parts.append(source.mapInPandas(run, f"{kinds}, coverage double, item_id long, n_items long"))
-    if len(parts) == 1:
-        return parts[0].withColumn("contaminated", F.col("n_items") > 0)
-    raise_on = [c for c in columns if c in ("coverage", "item_id", "n_items")]
-    if raise_on:
-        raise ValueError(f"columns that clash with results: {raise_on}")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    return restored(_leaks(docs, benchmark, columns, id_col, text_col, width, coverage), columns, RESULTS)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col="item_id", text_col="text", width: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
+    """`leaks` with `carried` columns."""
+    text = F.col("text").cast("string")
+    first, *others = blocks = _blocks(benchmark, id_col, text_col)
+    if not others:
+        return _scanned(docs, columns, text, first, width, coverage).withColumn("contaminated", F.col("n_items") > 0)
+    # A pass for each block finds what it can say of each text; then these join with the documents.
+    keyed = docs.select(F.unhex(F.sha1(text)).alias("key"), text.alias("text"))
+    parts = [stored(_scanned(keyed, ["key"], F.col("text"), b, width, coverage).where("coverage > 0").distinct(), "leaks") for b in blocks]
+    found = reduce(DataFrame.union, parts).withColumnRenamed("_p0", "key")
     best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("b")
-    found = found.groupBy(*columns).agg(best, F.sum("n_items").alias("n_items"))
-    return found.select(*columns, "b.coverage", (-F.col("b.i")).alias("item_id"), "n_items", (F.col("n_items") > 0).alias("contaminated"))
+    found = found.groupBy("key").agg(best, F.sum("n_items").alias("n_items"))
+    own = docs.select(*carried(columns), F.unhex(F.sha1(text)).alias("key")).join(found, "key", "left")
+    return own.select(
+        *[f"_p{i}" for i in range(len(columns))], F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), (-F.col("b.i")).alias("item_id"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), (F.coalesce("n_items", F.lit(0)) > 0).alias("contaminated"),
+    )
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,4 +193,4 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those into which a test item leaked."""
-    return leaks(docs, benchmark, docs.columns).where("not contaminated").select(*docs.columns)
+    return restored(_leaks(docs, benchmark, docs.columns).where("not contaminated"), docs.columns)

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cluster import annotate, restored
 from .textkit import U64, Words, letters, mix, word_batches
 
 HASH_BITS = 18
@@ -249,29 +249,25 @@ def training_rows(docs: DataFrame, allowed, per_language: int = TRAIN_PER_LANGUA
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id")
     ids = docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang")
     ids = ids.withColumn("row", F.row_number().over(order)).where(F.col("row") <= per_language).select("doc_id").distinct()
-    drawn = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    return [(r.text, r.lang) for r in drawn.select("doc_id", "text", "lang").orderBy("doc_id", "text").collect()]
+    drawn = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+    drawn = drawn.withColumn("row", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "text"))).where(F.col("row") <= per_language)
+    return [(r.text, r.lang) for r in drawn.orderBy("doc_id", "text", "lang").collect()]
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` and ``lang_pred``, ``score``, ``n_words``; reads ``text`` alone."""
+    """`carried` columns of ``docs`` and ``lang_pred``, ``score``, ``n_words``; reads ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(texts: list[str | None]) -> Iterator[tuple]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)
-        for pdf in batches:
-            for first, n, mass in label_texts(pdf["_text"].tolist(), model):
-                known = (n > 0) & (len(model.languages) > 0)
-                best = np.where(known, mass.argmax(1) if mass.shape[1] else 0, len(model.languages))
-                score = np.where(known, mass.max(1, initial=0) / np.maximum(n, 1), 0.0)
-                out = pdf.iloc[first : first + len(n)][columns].copy()
-                out["lang_pred"], out["score"], out["n_words"] = names[best], np.clip(score, 0, 1), n
-                yield out
+        for first, n, mass in label_texts(texts, model):
+            known = (n > 0) & (len(model.languages) > 0)
+            best = np.where(known, mass.argmax(1) if mass.shape[1] else 0, len(model.languages))
+            score = np.where(known, mass.max(1, initial=0) / np.maximum(n, 1), 0.0)
+            yield first, names[best], np.clip(score, 0, 1), n
 
-    source = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return source.mapInPandas(run, f"{kinds}, lang_pred string, score double, n_words long")
+    return annotate(docs, columns, [F.col("text").cast("string")], "lang_pred string, score double, n_words long", judge)
 
 
 def identify(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -284,7 +280,9 @@ def identify(docs: DataFrame, columns: list[str]) -> DataFrame:
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     rows = training_rows(docs, remainder != 1)
     model = train(rows) if rows else Model([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64), np.zeros((0, 0), bool))
-    return predict(docs.withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))), model, [*columns, "held_out"])
+    columns = [*columns, "held_out"]
+    found = predict(docs.withColumn("held_out", F.coalesce(remainder == 1, F.lit(False))), model, columns)
+    return restored(found, columns, ("lang_pred", "score", "n_words"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,4 +303,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     if not rows:
         return docs
     kept = predict(docs, train(rows), names)
-    return kept.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*names)
+    return restored(kept.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE)), names)

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import components, stored
+from .cluster import annotate, carried, components, restored, stored
 from .textkit import U64, mix, shingle_hashes, word_batches
 
 WIDTH = 5
@@ -68,36 +68,25 @@ def _sets(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray
 def _features(width: int, trees: int, depth: int, prefix: int):
     factors = _multipliers(trees, depth)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["doc"]
-            for first, flat, offset in _sets(pdf["text"].tolist(), width):
-                n = len(offset) - 1
-                sizes = np.diff(offset)
-                full = np.flatnonzero(sizes)
-                keys = np.zeros((n, trees), np.uint64)
-                high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                if len(full):
-                    at = offset[:-1][full]
-                    high[full] = np.add.reduceat(mix(flat ^ U64(SEED)), at)
-                    low[full] = np.add.reduceat(mix(flat + U64(SEED)), at)
-                    for t in range(trees):
-                        label = np.full(len(full), U64(t))
-                        for d in range(prefix):
-                            label = mix(label ^ np.minimum.reduceat(flat * factors[t, d], at))
-                        keys[full, t] = label
-                yield pd.DataFrame(
-                    {
-                        "doc": ids.iloc[first : first + n].to_numpy(),
-                        "text_hash": pdf["text_hash"].iloc[first : first + n].to_numpy(),
-                        "high": high.view(np.int64),
-                        "low": low.view(np.int64),
-                        "size": sizes,
-                        "keys": list(keys.view(np.int64)) if n else [],
-                    }
-                )
-
-    return run
+    def judge(texts: list[str | None]) -> Iterator[tuple]:
+        for first, flat, offset in _sets(texts, width):
+            n = len(offset) - 1
+            sizes = np.diff(offset)
+            full = np.flatnonzero(sizes)
+            keys = np.zeros((n, trees), np.uint64)
+            high, low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            if len(full):
+                at = offset[:-1][full]
+                high[full] = np.add.reduceat(mix(flat ^ U64(SEED)), at)
+                low[full] = np.add.reduceat(mix(flat + U64(SEED)), at)
+                for t in range(trees):
+                    label = np.full(len(full), U64(t))
+                    for d in range(prefix):
+                        label = mix(label ^ np.minimum.reduceat(flat * factors[t, d], at))
+                    keys[full, t] = label
+            yield first, high.view(np.int64), low.view(np.int64), sizes, list(keys.view(np.int64))
+
+    return judge
 
 
 def _shingles(width: int):
@@ -187,9 +176,9 @@ def _verify(threshold: float, prefix: int, trees: int):
 
 def _round(docs: DataFrame, width, threshold, trees, depth, prefix, block):
     """One matching at a prefix: the documents' sets, and what each linked set found."""
-    features = docs.select("doc", "text", "text_hash").mapInPandas(
-        _features(width, trees, depth, prefix), "doc long, text_hash long, high long, low long, size long, keys array<long>"
-    )
+    names = ["doc", "text_hash"]
+    found = annotate(docs, names, [F.col("text")], "high long, low long, size long, keys array<long>", _features(width, trees, depth, prefix))
+    features = restored(found, names, ("high", "low", "size", "keys"))
     features = stored(features, "features")
     sets = features.where("size > 0").groupBy("high", "low").agg(
         F.count("*").alias("weight"), F.min(F.struct(F.col("doc").isNull().alias("n"), "doc", "text_hash")).alias("first"), F.first("keys").alias("keys")
@@ -293,10 +282,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     firsts = classes.where("first").groupBy("doc", "text_hash").agg(F.count("*").alias("copies"))
     firsts = stored(firsts, "firsts")
     names = docs.columns
-    kept = docs.alias("d").withColumn("_text_hash", F.xxhash64(F.col("d.text").cast("string"))).alias("k").join(
-        firsts.alias("f"), F.col("k.doc_id").cast("long").eqNullSafe(F.col("f.doc")) & (F.col("_text_hash") == F.col("f.text_hash")), "left_semi"
-    )
+    rows = docs.select(*carried(names), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = rows.alias("k").join(firsts.alias("f"), F.col("k.doc").eqNullSafe(F.col("f.doc")) & (F.col("k.text_hash") == F.col("f.text_hash")), "left_semi")
     if not firsts.where("copies > 1").isEmpty():
-        repeated = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(1))
-        kept = kept.withColumn("_row", F.row_number().over(repeated)).where("_row = 1")
-    return kept.select(*names)
+        kept = kept.dropDuplicates(["doc", "text_hash"])
+    return restored(kept, names)

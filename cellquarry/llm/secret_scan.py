@@ -19,10 +19,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import annotate, restored
+
 RUN = re.compile(r"[A-Za-z0-9+/_~.=-]{16,}")
 ASSIGNED = re.compile(r"[=:]\s{0,4}[\"'`]?([^\s\"'`<>,;(){}\[\]]{8,})")
 WORDS = (
@@ -45,6 +46,7 @@ CUES = frozenset("secret token password passwd pwd apikey api key credential cre
 DECOYS = frozenset("sha sha1 sha256 md5 checksum digest hash commit revision etag uuid guid id example sample placeholder dummy version build integrity page url http https file path".split())
 #: Trees, depth and features tried at each split of the forest.
 TREES, DEPTH, TRIED = 40, 9, 7
+RESULTS = ("n_candidates", "n_secrets", "secrets", "redacted")
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
@@ -265,24 +267,23 @@ def scan(docs: DataFrame, columns: list[str], forest: Forest | None = None, path
     is the text with each secret replaced, null if there is none.  Null and
     empty texts have no candidates; a null path is like an unknown one.
     """
+    return restored(_scanned(docs, columns, forest, path_col, least), columns, RESULTS)
+
+
+def _scanned(docs: DataFrame, columns: list[str], forest: Forest | None = None, path_col: str | None = "source", least: float = 0.5) -> DataFrame:
+    """`scan` with `carried` columns."""
     shared = docs.sparkSession.sparkContext.broadcast(forest or train_forest(example_findings()))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    source = docs.select(*columns, F.col("text").cast("string").alias("_text"), path.alias("_path"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, paths = pdf["_text"].tolist(), pdf["_path"].tolist()
-            for first, found in _scan(texts, paths, shared.value):
-                out = pdf.iloc[first : first + len(found)][columns].copy()
-                secrets = [[s for s in own if s[2] >= least] for own in found]
-                out["n_candidates"] = [len(own) for own in found]
-                out["n_secrets"] = [len(own) for own in secrets]
-                out["secrets"] = [[{"start": a, "end": b, "score": p} for a, b, p in own] for own in secrets]
-                out["redacted"] = [redact(texts[first + i], [s[:2] for s in own]) if own else None for i, own in enumerate(secrets)]
-                yield out
+    def judge(texts: list[str | None], paths: list[str | None]) -> Iterator[tuple]:
+        for first, found in _scan(texts, paths, shared.value):
+            secrets = [[s for s in own if s[2] >= least] for own in found]
+            redacted = [redact(texts[first + i], [s[:2] for s in own]) if own else None for i, own in enumerate(secrets)]
+            spans = [[{"start": a, "end": b, "score": p} for a, b, p in own] for own in secrets]
+            yield first, [len(own) for own in found], [len(own) for own in secrets], spans, redacted
 
-    return source.mapInPandas(run, f"{kinds}, n_candidates long, n_secrets long, secrets array<struct<start: long, end: long, score: double>>, redacted string")
+    kinds = "n_candidates long, n_secrets long, secrets array<struct<start: long, end: long, score: double>>, redacted string"
+    return annotate(docs, columns, [F.col("text").cast("string"), path], kinds, judge)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,10 +294,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """All of ``docs``, secrets replaced in the text (and ``n_chars`` counted again)."""
-    found = scan(docs, docs.columns)
-    text = F.coalesce("redacted", "text")
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    found = _scanned(docs, names, path_col="source" if "source" in names else None)
+    text, length = f"_p{names.index('text')}", f"_p{names.index('n_chars')}" if "n_chars" in names else None
+    if length:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("redacted").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        found = found.withColumn(length, F.when(F.col("redacted").isNotNull(), F.length("redacted").cast(kind)).otherwise(F.col(length)))
+    return restored(found.withColumn(text, F.coalesce("redacted", text)), names)

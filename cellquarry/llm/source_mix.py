@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import stored
+from .cluster import carried, restored, stored
 
 SEED = 20240229
 MOST_REPEATS = 3
@@ -167,14 +167,16 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with ``size``, ``target`` and ``taken``."""
+    """The documents that the mix takes, with ``mix_size``, ``mix_target`` and ``mix_taken``."""
     taken = stored(mix(docs), "mix")
     keys = ["doc_id", "text_hash"]
-    left = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.lit(1))
+    names = docs.columns
+    left = docs.select(*carried(names), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.lit(1).alias("row"))
     taken = taken.withColumn("row", F.lit(1))
     if not taken.groupBy(*keys).count().where("count > 1").isEmpty():
-        left = left.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1))))
+        left = left.withColumn("row", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1))))
         taken = taken.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("taken")))
-    same = F.col("d._id").eqNullSafe(F.col("m.doc_id")) & F.col("d._hash").eqNullSafe(F.col("m.text_hash")) & (F.col("d._row") == F.col("m.row"))
+    same = F.col("d.id").eqNullSafe(F.col("m.doc_id")) & F.col("d.hash").eqNullSafe(F.col("m.text_hash")) & (F.col("d.row") == F.col("m.row"))
     joined = left.alias("d").join(taken.where("taken > 0").alias("m"), same)
-    return joined.select(*[f"d.`{c}`" for c in docs.columns], F.col("m.size").alias("mix_size"), F.col("m.target").alias("mix_target"), F.col("m.taken").alias("mix_taken"))
+    joined = joined.select(*[f"_p{i}" for i in range(len(names))], F.col("m.size").alias("mix_size"), F.col("m.target").alias("mix_target"), F.col("m.taken").alias("mix_taken"))
+    return restored(joined, names, ("mix_size", "mix_target", "mix_taken"))

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import annotate, restored
 from .textkit import U64, Words, mix, word_batches
 
 HASH_BITS = 19
@@ -145,16 +145,13 @@ def score(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame
     labelled row of both kinds) every score is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or Model(np.zeros(1 << HASH_BITS, np.float32), -40.0))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for first, p in score_texts(pdf["_text"].tolist(), shared.value):
-                out = pdf.iloc[first : first + len(p)][columns].copy()
-                out["score"], out["predicted"] = p, (p >= 0.5).astype(np.int32)
-                yield out
+    def judge(texts: list[str | None]) -> Iterator[tuple]:
+        for first, p in score_texts(texts, shared.value):
+            yield first, p, (p >= 0.5).astype(np.int32)
 
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInPandas(run, f"{kinds}, score double, predicted int")
+    found = annotate(docs, columns, [F.col("text").cast("string")], "score double, predicted int", judge)
+    return restored(found, columns, ("score", "predicted"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     narrow = pages.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n"))
     heads = stored(narrow.where("n > 1 and head is not null").select("digest", "head"), "heads")
     refers = F.when((F.col("head") != F.col("page_id")) | F.col("page_id").isNull(), F.col("head"))
-    rows = pages.join(heads, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    null = lambda v: None if pd.isna(v) else int(v)
+    rows = pages.join(heads, "digest", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", refers.cast("string").alias("refers_to"))
+    null = lambda v: int(v) if isinstance(v, str) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -199,7 +199,7 @@ def read(archive: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = Fa
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        frame = lambda: pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+        frame = lambda: pd.DataFrame(rows, columns=columns, dtype=object).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
         columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *["payload"] * payloads]
         number = lambda text: int(text) if text is not None else None
         for pdf in batches:

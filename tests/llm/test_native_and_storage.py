@@ -203,3 +203,33 @@ def test_pipeline(spark, tmp_path):
     every = {x[0] for x in rows}
     assert seen[0] == every - {201, 202} and seen[1] == seen[0] - {200} and seen[2] == seen[1] - {203} and seen[3] == seen[2]
     assert seen[4] <= seen[3] and docs.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_pipeline_keeps_clashing_and_odd_columns(spark, tmp_path):
+    r = np.random.default_rng(6)
+    en = "the thing of that was with and for this have from they which there their would about could other".split()
+    text = lambda k=60: " ".join(r.choice(en, k))
+    big = 2**60 + 1
+    rows = [(big + i, text(), "en", "s1") for i in range(30)]
+    rows += [(None, text(), "en", "s1"), rows[0], rows[0], (big + 90, text() + ' token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"', "en", None), (big + 91, None, None, None), (big + 92, "", "en", "s1")]
+    df = spark.createDataFrame([(i, t, la, s, None) for i, t, la, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    extra = "score lang_pred n_words held_out Coverage item_id n_items contaminated redacted secrets _text _path doc text_hash first copies _row row key id hash size taken a.b".split()
+    df = df.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra}).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, cluster.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns[: len(before.columns)] == before.columns and docs.dtypes[: len(before.columns)] == before.dtypes
+        got = docs.collect()
+        assert all(x[c] == c + ("-" if x["doc_id"] is None else str(x["doc_id"])) and x["m"] == {"k": x["doc_id"]} for x in got for c in extra)
+        if name not in ("language_id", "source_mix"):
+            assert {x["doc_id"] for x in got} == {x[0] for x in rows[:34]} and len(got) == 32
+        assert {x["n_chars"] is None for x in got if x["doc_id"] != big + 90} == {True}
+
+
+def test_warc_keeps_large_and_null_ids(spark, tmp_path):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "http://a", "x" * 1000), (big + 1, None, "x" * 1000), (None, "http://b", "y"), (None, "http://c", "x" * 1000)], "page_id long, url string, html string")
+    got = sorted(((x["page_id"], x["record_type"], x["refers_to"]) for x in warc.read(warc.write(df.coalesce(1), f"file://{tmp_path}/w")).collect()), key=str)
+    assert got == sorted([(big, "revisit", big + 1), (big + 1, "response", None), (None, "response", None), (None, "revisit", big + 1)], key=str)
