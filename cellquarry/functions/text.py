@@ -85,6 +85,19 @@ def content_words(x: Column) -> Column:
 
 
 _WIDE = re.compile("[！-～　]")
+#: Characters that stand for bytes 80 to 9F where UTF-8 was read as Windows-1252.
+_BYTES = {ord(c): b for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+_MISREAD = re.compile(f"[\xc2-\xf4][\x80-\xbf{''.join(map(chr, _BYTES))}]")
+
+
+def _reread(line: str) -> str:
+    """A line that is whole UTF-8 read as single bytes (once, or twice over), read rightly; any other as it is."""
+    while _MISREAD.search(line):
+        try:
+            line = line.translate(_BYTES).encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            break
+    return line
 
 
 def _tidy(text: str | None) -> str | None:
@@ -94,6 +107,7 @@ def _tidy(text: str | None) -> str | None:
         text = html.unescape(text)
     if text.isascii():
         return " ".join(text.split())
+    text = "\n".join(map(_reread, text.split("\n")))
     wide = text if not _WIDE.search(text) else "".join(unicodedata.normalize("NFKC", c) if "！" <= c <= "～" or c == "　" else c for c in text)
     for fancy, plain in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"')):
         wide = wide.replace(fancy, plain)
@@ -101,7 +115,7 @@ def _tidy(text: str | None) -> str | None:
 
 
 def tidy(text: str | None) -> str | None:
-    """NFC, entities, full-width forms, curly quotes and white space of one string."""
+    """NFC, entities, misread lines, full-width forms, curly quotes and white space of one string."""
     return _tidy(text)
 
 

@@ -47,6 +47,10 @@ def test_text(spark):
     assert one(spark, text.ascii_words(F.lit("  Đơn  vị\ttính: TRIỆU đồng "))) == "don vi tinh: trieu dong"
     assert one(spark, text.ascii_compact(F.lit("Số cổ phần"))) == "socophan"
     assert one(spark, text.normalize_text(F.col("x")), x="á &amp; b") == "á & b"
+    for plain in ("Doanh thu thuần đạt 5 tỷ đồng", "naïve – “café” €", "ĐÃ”", "Spaß“ x", "é", "Â giá"):
+        misread = plain.encode().decode("latin-1")
+        assert text.tidy(misread) == text.tidy(plain)
+    assert one(spark, text.normalize_text(F.col("x")), x="Lợi nhuận\nnÄƒm") == "Lợi nhuận năm" and text.tidy("ĐÃ” Spaß“") == 'ĐÃ" Spaß"'
     assert one(spark, text.usable_section(F.lit("10 $^{th}$ Floor"))) == "" and one(spark, text.usable_section(F.lit("5. Tiền"))) == "5. Tiền"
     assert one(spark, text.has_titled(F.lit("Lãi của Hoa Phat"), F.lit("hoa phat"))) and not one(spark, text.has_titled(F.lit("hoa phat"), F.lit("hoa phat")))
     assert one(spark, text.trim_to_question(F.lit("Doanh thu năm 2024 của công ty là bao nhiêu? Giải thích."))).endswith("?")

@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,28 @@ def test_questions(spark):
     assert specs[3]["entities"] == [] and [e["ticker"] for e in specs[4]["entities"]] == ["FTS"]
 
 
+def test_word_set_score():
+    r = np.random.default_rng(8)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = following(row, x, b)
+        return row[-1]
+
+    def following(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+        return out
+
+    for _ in range(200):
+        a, b = ("".join(r.choice(list("ab c"), int(r.integers(0, 90)))) for _ in range(2))
+        want = 2 * longest(a, b) / (len(a) + len(b)) if a or b else 1.0
+        assert questions.indel_ratio(a, b) == pytest.approx(want)
+    assert questions.token_set_score("doanh thu fpt", "fpt") == 100 and questions.token_set_score("", "fpt") == 0
+
+
 def test_metrics_and_allocation(spark):
     got = spark.range(1).select(quality.f_beta(F.array(F.lit("g"), F.lit("x")), F.array(F.lit("g"))).alias("m"), quality.within_tolerance(F.lit("10"), F.lit("10.01")).alias("a"), quality.within_tolerance(F.lit("10"), F.lit("10.011")).alias("b"), quality.within_tolerance(F.lit("x"), F.lit("1")).alias("c")).first()
     assert tuple(got["m"]) == (0.5, 1.0, pytest.approx(5 / 6)) and (got["a"], got["b"], got["c"]) == (True, False, False)
