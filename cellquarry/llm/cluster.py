@@ -67,8 +67,8 @@ def annotate(docs: DataFrame, columns: list[str], inputs: list[Column], results:
     """`carried` columns of ``docs`` and the ``results`` (DDL) that ``judge`` finds for each row.
 
     ``judge`` gets a batch's values of each of ``inputs`` as lists and yields, for
-    one slice of the batch after another, its first row and a sequence for each
-    result.  Carried columns pass through as Arrow, whatever their type or nulls.
+    one slice of the batch after another, its first row and a sequence (or Arrow
+    array) for each result.  Carried columns pass through as Arrow, whatever their type or nulls.
     """
     source = docs.select(*carried(columns), *[x.alias(f"_i{i}") for i, x in enumerate(inputs)])
     found, n = StructType.fromDDL(results), len(columns)
@@ -79,7 +79,7 @@ def annotate(docs: DataFrame, columns: list[str], inputs: list[Column], results:
         for batch in batches:
             for first, *values in judge(*[c.to_pylist() for c in batch.columns[n:]]):
                 part = batch.slice(first, len(values[0])).columns[:n]
-                yield pa.RecordBatch.from_arrays([*part, *[pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]], names=names)
+                yield pa.RecordBatch.from_arrays([*part, *[v.cast(k) if isinstance(v, pa.Array) else pa.array(v, type=k) for v, k in zip(values, kinds, strict=True)]], names=names)
 
     return source.mapInArrow(run, StructType([*source.schema.fields[:n], *found.fields]))
 

@@ -124,6 +124,27 @@ def test_masked_lm_normalises_and_prefers_order(spark):
         assert not len(own) or np.isclose(np.exp(own).sum(), 1)
 
 
+def test_masked_lm_scores_every_word_by_its_own_count(spark):
+    # Enough commoner words to fill the vocabulary; two rarer words of one ending differ by their counts alone.
+    fill = " ".join(f"w{i}" for i in range(masked_lm.VOCABULARY + 100))
+    docs = table(spark, [fill, fill, fill, fill, "qqxyz", "qqxyz", "zzxyz", None])
+    out = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.pseudo_likelihood(docs, ["doc_id"]).collect()}
+    assert len(out) == 8 and out[7] == 0 and out[4] == out[5] and np.isclose(out[4] - out[6], np.log(2), atol=1e-6)
+
+
+def test_masked_lm_vocabulary_size_changes_no_score(spark):
+    # More words than TOP, so that many are outside the smallest vocabulary and counted differently.
+    r = np.random.default_rng(10)
+    names = [f"{a}{b}xyz" for a in "bcdfghjklm" for b in "aeiouvwpqr"]
+    texts = [" ".join(np.array(names)[np.minimum(r.geometric(0.03, 40) - 1, 99)]) for _ in range(60)]
+    docs = table(spark, [*texts, texts[0]])
+    small, whole = ({x["doc_id"]: x for x in masked_lm.pseudo_likelihood(docs, ["doc_id"], size).collect()} for size in (masked_lm.TOP, masked_lm.VOCABULARY))
+    v = masked_lm.vocabulary_of(masked_lm.count_words(docs), masked_lm.TOP)
+    known = [np.isin(w.hashes(), v.word).all() for w in textkit.word_batches(texts, at_once=1)]
+    assert not all(known) and small[0]["log_likelihood"] == small[60]["log_likelihood"]
+    assert all(np.isclose(small[i]["log_likelihood"], whole[i]["log_likelihood"], atol=1e-6) for i in range(61))
+
+
 def test_masked_lm_gradient():
     rng = np.random.default_rng(2)
     flat = masked_lm.fresh_weights().astype(np.float64)
