@@ -15,16 +15,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import annotate, restored
 from .textkit import U64, Words, mix, word_batches
 
-HASH_BITS = 19
+HASH_BITS = 20
 ORDERS = (2, 3, 4, 5, 6)
 #: Labelled documents of each label in the training sample (the documented bound).
-TRAIN_PER_LABEL = 1000
+TRAIN_PER_LABEL = 1500
 RIDGE = 0.01
 STEPS = 120
 
@@ -126,7 +126,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER
     """A bounded sample of labelled texts of each label, the same for the same rows.
 
     Only rows whose crc32(doc_id) mod 5 is not 0 are drawn.  Ids are drawn from
-    the labels by hash; an id with labels of both kinds counts as toxic.
+    the labels by hash; an id with labels of both kinds counts as toxic.  Every
+    drawn id gives a text before any gives a second; which, is settled by hash.
     """
     learnt = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
     drawn = labels.where(learnt & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -134,7 +135,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER
     picked = [drawn.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_label) for c in (0, 1)]
     picked = picked[0].union(picked[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * per_label)
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", F.lit(41)), "text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").withColumn("turn", turn).where(F.col("turn") <= 4 * per_label)
+    rows = rows.orderBy("turn", order, "doc_id").limit(4 * per_label)
     return [(r.text, r.toxic) for r in rows.collect()]
 
 

@@ -91,6 +91,16 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_draws_from_every_id_and_learns_1500_of_a_label(spark):
+    allowed = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(allowed)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(allowed[0], f"again {k}") for k in range(40)] + [(i, f"text {i}") for i in allowed], "doc_id long, text string")
+    drawn = toxicity.training_rows(docs, labels, 3)
+    assert len(drawn) == 12 and {f"text {i}" for i in allowed[1:]} <= {t for t, _ in drawn}
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert len(toxicity.training_rows(many.select("doc_id", F.col("doc_id").cast("string").alias("text")), many)) == 3000
+
+
 def test_secrets_held_out_accuracy_and_redaction(spark):
     forest = secret_scan.train_forest(secret_scan.example_findings(1500))
     test = secret_scan.example_findings(400, seed=77)
