@@ -6,7 +6,9 @@ Every shard is queried by every shard of its label: a task holds two shards,
 searches each graph with the other's vectors and unites what both ways find, so
 each pair of vectors is looked for in one place alone.  Beams are widened for
 queries whose whole beam is within the threshold, and for all queries until an
-audit of sampled queries against brute force reaches the target recall.  Cosine
+audit against brute force reaches the target recall, both of sampled queries and
+of probes: members of the graph, turned by an angle within the threshold, so no
+audit is without true pairs.  Cosine
 is then verified in double precision.  A task returns a row per linked vector
 (its links, its root among them), never a row per pair.
 """
@@ -29,6 +31,8 @@ SHARD_ROWS = 2048
 BEAM = 32
 TARGET_RECALL = 0.995
 AUDITED = 64
+#: Turned members of the searched graph in each audit; one missed in so many is within the target.
+PROBES = 256
 #: Slack for similarities in single precision before the verification.
 SLACK = 1e-4
 
@@ -37,15 +41,29 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def turned(vectors: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """Each unit vector moved in a random direction to a cosine between the threshold and 1."""
+    aside = rng.normal(size=vectors.shape)
+    aside -= np.einsum("nd,nd->n", aside, vectors)[:, None] * vectors
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.where(length > 1e-6, aside / np.maximum(length, 1e-6), 0)
+    cosine = rng.uniform(min(threshold + SLACK, 1), 1, (len(vectors), 1))
+    return (cosine * vectors + np.sqrt(1 - cosine**2) * aside).astype(np.float32)
+
+
 def near(graph: Graph, queries: np.ndarray, threshold: float, target: float = TARGET_RECALL, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(query, member) pairs at the threshold or above, by audited beam searches."""
-    n, size = len(queries), len(graph.vectors)
-    sample = np.random.default_rng(seed).permutation(n)[:AUDITED]
+    n, size, rng = len(queries), len(graph.vectors), np.random.default_rng(seed)
+    sample = rng.permutation(n)[:AUDITED]
+    probes = turned(graph.vectors[rng.permutation(size)[:PROBES]], threshold, rng)
+    sampled = len(sample)
+    sample = np.concatenate([sample, np.arange(n, n + len(probes))])
+    queries = np.concatenate([queries, probes])
     truth = queries[sample] @ graph.vectors.T >= threshold
     beam = min(BEAM, size)
     while True:
         wanted, found_q, found_m = beam, [], []
-        todo = np.arange(n)
+        todo = np.arange(len(queries))
         while len(todo):
             wide = []
             rows = max(16, BATCH * BEAM // max(BEAM, wanted))
@@ -61,12 +79,13 @@ def near(graph: Graph, queries: np.ndarray, threshold: float, target: float = TA
             todo, wanted = np.concatenate(wide), min(4 * wanted, size)
         q, m = np.concatenate(found_q), np.concatenate(found_m)
         got = np.zeros(truth.shape, bool)
-        place = np.full(n, -1)
+        place = np.full(len(queries), -1)
         place[sample] = np.arange(len(sample))
         own = place[q] >= 0
         got[place[q[own]], m[own]] = True
-        if beam >= size or (got & truth).sum() >= target * truth.sum():
-            return q, m
+        hits = got & truth
+        if beam >= size or all(hits[part].sum() >= target * truth[part].sum() for part in (slice(sampled), slice(sampled, None))):
+            return q[q < n], m[q < n]
         beam = min(2 * beam, size)
 
 

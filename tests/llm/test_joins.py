@@ -187,3 +187,17 @@ def test_tiles_match_brute_force(seed):
     pairs = [(i, j) for j in range(len(t) - 2) for i in seeds[tuple(t[j : j + 3])]]
     at = np.array(pairs, np.int64).reshape(-1, 2)
     assert decontamination.tiles(p, t, at[:, 0], at[:, 1], 3) == greedy_tiles(list(p), list(t), 3)
+
+
+def test_audit_widens_beams_where_near_pairs_are_sparse():
+    # A graph with few links, and queries of which hardly any has a partner: the sampled ones have none.
+    r = np.random.default_rng(6)
+    members, queries = (embedding_dedup.units(r.normal(size=(800, 24))).astype(np.float32) for _ in range(2))
+    sampled = np.random.default_rng(1).permutation(800)[: embedding_dedup.AUDITED]
+    paired = r.permutation(np.setdiff1d(np.arange(800), sampled))[:100]
+    queries[paired] = embedding_dedup.units(members[paired] + r.normal(size=(100, 24)) * 0.03)
+    graph = Graph(members, links=2, beam=4)
+    truth = queries @ members.T >= 0.93
+    assert truth.sum() >= 100 and not truth[sampled].any()
+    q, m = embedding_dedup.near(graph, queries, 0.93)
+    assert truth[q, m].all() and q.max() < 800 and len(q) >= 0.95 * truth.sum()
