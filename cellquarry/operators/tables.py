@@ -27,7 +27,7 @@ PARSED = (
     "table_id int, page_no int, line_no int, char_offset int, html string, context array<string>, local_section string, "
     "numbered_section string, declaration string, matrix array<array<string>>"
 )
-#: Spans beyond this are taken as this; no real table is wider or taller.
+#: A colspan beyond this is taken as this, as in HTML; a rowspan ends with the table.
 MOST_SPAN = 1000
 #: Characters of markup that one output batch holds.
 BATCH_CHARACTERS = 4_000_000
@@ -63,7 +63,7 @@ class _Rows(html.parser.HTMLParser):
                 self.rows.append([])
                 self.open = True
             named = dict(attrs)
-            self.span = tuple(_count(named.get(k)) for k in ("colspan", "rowspan"))
+            self.span = (min(_count(named.get("colspan")), MOST_SPAN), _count(named.get("rowspan")))
             self.parts = []
 
     def handle_endtag(self, tag):
@@ -80,7 +80,7 @@ class _Rows(html.parser.HTMLParser):
 
 def _count(text: str | None) -> int:
     try:
-        return min(max(int(text), 1), MOST_SPAN) if text and int(text) > 0 else 1
+        return int(text) if text and int(text) > 0 else 1
     except ValueError:
         return 1
 
@@ -90,20 +90,20 @@ def to_matrix(markup: str | None) -> list[list[str]]:
     parser = _Rows()
     parser.feed(markup or "")
     parser.close()
-    filled: dict[tuple[int, int], str] = {}
+    spanned: dict[int, tuple[int, str]] = {}  # of each column, rows still to fill and with what
     grid: list[dict[int, str]] = []
-    for r, cells in enumerate(parser.rows):
-        row = {c: v for (rr, c), v in filled.items() if rr == r}
+    for cells in parser.rows:
+        row = {c: v for c, (_, v) in spanned.items()}
+        spanned = {c: (n - 1, v) for c, (n, v) in spanned.items() if n > 1}
         at = 0
         for text, across, down in cells:
             while at in row:
                 at += 1
             for c in range(at, at + across):
                 row[c] = text
-                for below in range(r + 1, r + down):
-                    filled[below, c] = text
+                if down > 1:
+                    spanned[c] = (down - 1, text)
             at += across
-        filled = {k: v for k, v in filled.items() if k[0] > r}
         if row:
             grid.append(row)
     width = max((max(row) + 1 for row in grid), default=0)

@@ -17,6 +17,11 @@ def reports(spark, text=REPORT):
     return spark.createDataFrame([("AAA", 2018, "AAA_financial_statements_2018_separate", "separate", "p", text)], "ticker string, year int, doc_id string, scope string, path string, text string")
 
 
+def test_rowspan_reaches_as_far_as_the_table():
+    rows = "<tr><td rowspan=5000>a</td><td>0</td></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(1, 1500))
+    assert tables.to_matrix(f"<table>{rows}</table>") == [["a", str(i)] for i in range(1500)]
+
+
 def test_matrix():
     spans = "<table><tr><th rowspan=2>Chỉ tiêu</th><th colspan=2>Kỳ</th></tr><tr><td>2024</td><td>2023</td></tr><tr><td>Doanh thu</td><td>10</td><td>9</td></tr></table>"
     assert tables.to_matrix(spans) == [["Chỉ tiêu", "Kỳ", "Kỳ"], ["Chỉ tiêu", "2024", "2023"], ["Doanh thu", "10", "9"]]
