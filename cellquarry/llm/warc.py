@@ -35,8 +35,6 @@ RANGE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
-#: Most bytes of a record's header; a candidate without its end by then is none.
-HEADER_BYTES = 1 << 20
 READ_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
 
@@ -136,7 +134,7 @@ def member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None
     """Header, block and end of the record at ``at``; null if no whole record starts there."""
     if window.get(at, 3) != MAGIC:
         return None
-    unpack, parts, size, fields, start, place = zlib.decompressobj(31), [], 0, None, 0, at
+    unpack, parts, head, fields, place = zlib.decompressobj(31), [], bytearray(), None, at
     try:
         while not unpack.eof:
             data = window.get(place, 16384)
@@ -144,23 +142,22 @@ def member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | None
                 return None
             got = unpack.decompress(data)
             place += len(data) - len(unpack.unused_data)
-            parts.append(got)
-            size += len(got)
-            if fields is None:
-                head = parts[0] if len(parts) == 1 else b"".join(parts)
-                parts = [head]
-                if not b"WARC/1."[: len(head)] == head[:7]:
-                    return None
-                if (start := head.find(b"\r\n\r\n")) >= 0:
-                    if (fields := parse_header(head[:start])) is None:
-                        return None
-                elif size > HEADER_BYTES:
+            if fields is not None:
+                parts.append(got)
+                continue
+            looked = max(0, len(head) - 3)
+            head += got
+            if not b"WARC/1."[: len(head)] == head[:7]:
+                return None
+            if (start := head.find(b"\r\n\r\n", looked)) >= 0:
+                if (fields := parse_header(bytes(head[:start]))) is None:
                     return None
+                parts.append(bytes(head[start + 4 :]))
     except (zlib.error, UnicodeDecodeError):
         return None
     if fields is None:
         return None
-    block = b"".join(parts)[start + 4 :]
+    block = b"".join(parts)
     length = int(fields["content-length"])
     return (fields, block[:length], place) if len(block) >= length else None
 

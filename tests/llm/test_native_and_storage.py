@@ -121,6 +121,12 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.limit(0), path)).count() == 0
 
 
+def test_warc_reads_headers_of_any_length():
+    url = "http://a/" + np.random.default_rng(9).bytes(1_500_000).hex()
+    data = warc.record(1, url, b"one", None, hashlib.sha1(b"one").hexdigest()) + warc.record(2, "http://b", b"two", None, hashlib.sha1(b"two").hexdigest())
+    assert [(f["warc-page-id"], f["warc-target-uri"]) for f, _ in warc.records(io.BytesIO(data), 0, len(data))] == [("1", url), ("2", "http://b")]
+
+
 def test_warc_survives_damage_and_false_magic():
     one = warc.record(1, "http://a", b"<p>\x1f\x8b\x08 not a member", None, hashlib.sha1(b"").hexdigest())
     two = warc.record(2, None, b"two", None, hashlib.sha1(b"two").hexdigest())
