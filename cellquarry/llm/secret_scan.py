@@ -14,6 +14,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +27,9 @@ from .cluster import annotate, restored
 
 RUN = re.compile(r"[A-Za-z0-9+/_~.=-]{16,}")
 ASSIGNED = re.compile(r"[=:]\s{0,4}[\"'`]?([^\s\"'`<>,;(){}\[\]]{8,})")
+#: Where the value of a parameter inside an assigned value begins; a name may also begin the value after a colon.
+PARAMETER = re.compile(r"[?&][A-Za-z_][\w.-]*=")
+NAMED = re.compile(r"[A-Za-z_][\w.-]*=(?=[^=&]{8})")
 WORDS = (
     "about account action address admin agent alert amount apache array attach author backup batch binary block board branch browser "
     "buffer build button bytes cache camera cancel center change channel charge client cloud cluster column command comment commit config "
@@ -49,12 +53,38 @@ TREES, DEPTH, TRIED = 40, 9, 7
 RESULTS = ("n_candidates", "n_secrets", "secrets", "redacted")
 
 
+def _assigned(text: str) -> set[tuple[int, int]]:
+    """Spans of assigned values; one that holds parameters (a URL, ``a=...&b=...``) is parted at them."""
+    out = set()
+    for m in ASSIGNED.finditer(text):
+        a, end = m.span(1)
+        if m[0][0] == ":" and (named := NAMED.match(text, a, end)):
+            a = named.end()
+        for cut in PARAMETER.finditer(text, a, end):
+            out.add((a, cut.start()))
+            a = cut.end()
+        out.add((a, end))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the candidates of a text, none inside another."""
+    """(start, end) of the candidates of a text, none inside another.
+
+    A run ends before an assigned value that begins inside it (``KEY=value``).
+    """
     if not text:
         return []
-    spans = {m.span() for m in RUN.finditer(text)} if len(text) >= 16 else set()
-    spans |= {m.span(1) for m in ASSIGNED.finditer(text)}
+    spans = {s for s in _assigned(text) if s[1] - s[0] >= 8}
+    starts = sorted(a for a, _ in spans)
+    for m in RUN.finditer(text) if len(text) >= 16 else ():
+        a, b = m.span()
+        i = bisect_right(starts, a)
+        if i < len(starts) and starts[i] < b and text[starts[i] - 1] in "=:":
+            b = starts[i]
+            while b > a and text[b - 1] == "=":
+                b -= 1
+        if b - a >= 16:
+            spans.add((a, b))
     trimmed = set()
     for a, b in spans:
         while b > a and text[b - 1] in ".,:!?|":

@@ -119,6 +119,17 @@ def test_secrets_held_out_accuracy_and_redaction(spark):
     assert secret_scan.scan(docs.limit(0), ["doc_id"], forest).count() == 0
 
 
+def test_unquoted_assignments_give_their_values():
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    values = lambda t: [t[a:b] for a, b in secret_scan.candidates(t)]
+    for text in (f"API_KEY={key}", f"env: API_KEY={key}", f"A=short&token={key}&page=12", f"see https://x.example.com/p?id=3&token={key}"):
+        assert key in values(text) and not any(key in v and v != key for v in values(text)), text
+    assert values("password=hunter2abcdef9") == ["hunter2abcdef9"] and values("QWxhZGRpbjpvcGVuIHNlc2FtZQ==") == ["QWxhZGRpbjpvcGVuIHNlc2FtZQ=="]
+    assert values(f"AWS_SECRET_ACCESS_KEY={key}") == ["AWS_SECRET_ACCESS_KEY", key]
+    forest = secret_scan.train_forest(secret_scan.example_findings(1500))
+    assert all(p >= 0.5 for *_, p in secret_scan.find(f"API_KEY={key}", None, forest))
+
+
 def test_masked_lm_normalises_and_prefers_order(spark):
     texts = ["a b c d e f g h " * 20] * 30 + sentences(EN, 30, 8)
     docs = table(spark, [*texts, *ODD, "h c a f b e g d " * 20])
