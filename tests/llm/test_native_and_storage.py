@@ -99,6 +99,15 @@ def pages(spark, htmls):
     return spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
 
 
+def test_url_models_keep_all_contexts(spark):
+    r = np.random.default_rng(4)
+    urls = ["".join(x) for x in r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), (4000, 40))]
+    rows = spark.createDataFrame([(u, i % 2 == 0) for i, u in enumerate(urls)], "url string, accepted boolean")
+    padded = [url_filter.START * url_filter.ORDER + u + url_filter.END for u in urls]
+    want = {w[i - k : i] for w in padded for i in range(url_filter.ORDER, len(w)) for k in range(url_filter.ORDER + 1)}
+    assert len(want) > 100_000 and url_filter.train(rows).count() == len(want)
+
+
 def test_warc_round_trip(spark):
     r = np.random.default_rng(1)
     long = ["".join(r.choice(list("abcé <>"), 4000)) for _ in range(6)]
