@@ -168,8 +168,8 @@ def usable_section(x: Column) -> Column:
 
 def is_proper_noun(x: Column) -> Column:
     """At least two capitalised words after the first."""
-    rest = F.slice(F.split(squash(x), " "), 2, 1000)
-    return F.size(F.filter(rest, lambda w: w.rlike(r"^\p{Lu}"))) >= 2
+    capital = F.filter(F.split(squash(x), " "), lambda w, i: (i > 0) & w.rlike(r"^\p{Lu}"))
+    return F.size(capital) >= 2
 
 
 def quotes_label(question: Column, label: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 DECLARED = ("consolidated", "separate", "aggregated")
 RRF_K = 60
 
@@ -119,14 +121,21 @@ def fit_budget(candidates: DataFrame, budget: int) -> DataFrame:
 
 
 def global_index(df: DataFrame, *order: str) -> DataFrame:
-    """A 0-based ``index`` in a total order: ranks inside range partitions plus what stands before them."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    marked = ranged.withColumn("_in", F.row_number().over(inside) - 1)
-    sizes = ranged.groupBy("_part").count()
+    """A 0-based ``index`` in a total order: places inside range partitions plus what stands before them.
+
+    The ranges are sampled once: the sorted rows are written to the shared folder
+    with their partition and place, and everything else is counted from that
+    table.  A second range exchange would sample other bounds, and a row could
+    then be counted in one partition and stand in another.  Rows equal in
+    ``order`` get the places at which they were written.
+    """
+    at = F.monotonically_increasing_id()  # partition in the high bits, place from bit 33 downwards
+    placed = stored(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", at), "placed")
+    part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_before")
-    return marked.join(F.broadcast(sizes), "_part").withColumn("index", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn("index", place + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def shard(df: DataFrame, order: str, n: int, index: int) -> DataFrame:
@@ -134,6 +143,13 @@ def shard(df: DataFrame, order: str, n: int, index: int) -> DataFrame:
     return global_index(df, order).where(F.pmod("index", F.lit(n)) == index).drop("index")
 
 
+def limited_shard(df: DataFrame, order: str, limit: int, n: int, index: int) -> DataFrame:
+    """As `shard`, of the first ``limit`` rows of the order (the cut is a request's own, made before the rows are dealt)."""
+    if limit < 1:
+        raise ValueError("a limit from 1 is expected")
+    return global_index(df, order).where((F.col("index") < limit) & (F.pmod("index", F.lit(n)) == index)).drop("index")
+
+
 def reorder(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows in the order of ``wanted.ids`` with their ``pos``."""
     return wanted.select(F.posexplode("ids").alias("pos", key)).join(df, key)

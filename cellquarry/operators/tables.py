@@ -19,6 +19,7 @@ from ..functions.numbers import is_numeric, parse_number
 from ..functions.text import ascii_words, let, tidy
 from ..functions.units import detect_unit, table_unit, to_base
 
+# The marks of tables, pages and numbered sections in report text.
 TABLE = re.compile(r"<table\b[^>]*>.*?</table\s*>", re.I | re.S)
 PAGE = re.compile(r"^=====\s*PAGE\s+(\d+)\s*=====\s*$", re.I)
 NUMBERED = re.compile(r"^\d+(\.\d+)*\.?\s+\S")
@@ -27,8 +28,6 @@ PARSED = (
     "table_id int, page_no int, line_no int, char_offset int, html string, context array<string>, local_section string, "
     "numbered_section string, declaration string, matrix array<array<string>>"
 )
-#: A colspan beyond this is taken as this, as in HTML; a rowspan ends with the table.
-MOST_SPAN = 1000
 #: Characters of markup that one output batch holds.
 BATCH_CHARACTERS = 4_000_000
 
@@ -63,7 +62,7 @@ class _Rows(html.parser.HTMLParser):
                 self.rows.append([])
                 self.open = True
             named = dict(attrs)
-            self.span = (min(_count(named.get("colspan")), MOST_SPAN), _count(named.get("rowspan")))
+            self.span = (_count(named.get("colspan")), _count(named.get("rowspan")))
             self.parts = []
 
     def handle_endtag(self, tag):
@@ -90,19 +89,17 @@ def to_matrix(markup: str | None) -> list[list[str]]:
     parser = _Rows()
     parser.feed(markup or "")
     parser.close()
-    spanned: dict[int, tuple[int, str]] = {}  # of each column, rows still to fill and with what
+    held: dict[int, tuple[int, str]] = {}  # of each column under a rowspan, the row at which it ends and its text
     grid: list[dict[int, str]] = []
-    for cells in parser.rows:
-        row = {c: v for c, (_, v) in spanned.items()}
-        spanned = {c: (n - 1, v) for c, (n, v) in spanned.items() if n > 1}
-        at = 0
+    for number, cells in enumerate(parser.rows):
+        held = {c: h for c, h in held.items() if h[0] > number}
+        row, at = {c: text for c, (_, text) in held.items()}, 0
         for text, across, down in cells:
             while at in row:
                 at += 1
-            for c in range(at, at + across):
-                row[c] = text
-                if down > 1:
-                    spanned[c] = (down - 1, text)
+            row.update(dict.fromkeys(range(at, at + across), text))
+            if down > 1:
+                held.update(dict.fromkeys(range(at, at + across), (number + down, text)))
             at += across
         if row:
             grid.append(row)
@@ -258,7 +255,7 @@ def distinct_labels(values: Column, limit: int) -> Column:
 
 
 def retrieval_text(ticker: Column, year: Column, scope: Column, section: Column, context: Column, headers: Column, labels: Column) -> Column:
-    """The searchable description of a table and its accent-free copy."""
+    """The searchable description of a table and its accent-free copy (the line names are fixed values)."""
     line = lambda name, x: F.when(F.coalesce(F.length(x), F.lit(0)) > 0, F.concat(F.lit(f"{name}: "), x))
     joined = lambda x: F.concat_ws(" | ", x)
     near = distinct_labels(F.slice(context, F.greatest(F.size(context) - 3, F.lit(1)), F.lit(4)), 4)
@@ -287,14 +284,18 @@ def numeric_coordinates(cells: DataFrame) -> DataFrame:
     return cells.where("numeric_value is not null").groupBy("table_ref").agg(F.array_sort(F.collect_set(at)).alias("at"))
 
 
+# The outline marks of row labels (letters, numbers, bullets).
+LETTERED, NUMERIC, BULLET = r"(?iu)^\s*([a-zđ]+)\s*[.)]\s+", r"^\s*\d+(\.\d+)*\s*[.)]\s+", r"^\s*[-+•▪●○◦]\s+"
+
+
 def outline_level(label: Column) -> Column:
     """0 for a lettered group, 1 for a Roman one, 2 for a numbered row, 3 for a bullet; else null."""
-    letters = F.upper(F.regexp_extract(label, r"(?iu)^\s*([a-zđ]+)\s*[.)]\s+", 1))
+    letters = F.upper(F.regexp_extract(label, LETTERED, 1))
     return (
         F.when(letters.rlike("^[IVX]+$"), 1)
         .when(letters != "", 0)
-        .when(label.rlike(r"^\s*\d+(\.\d+)*\s*[.)]\s+"), 2)
-        .when(label.rlike(r"^\s*[-+•▪●○◦]\s+"), 3)
+        .when(label.rlike(NUMERIC), 2)
+        .when(label.rlike(BULLET), 3)
     )
 
 

@@ -6,8 +6,6 @@ derived from their columns inside the query.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,7 @@ from .plans import nodes
 from .plans.bind import run_batch
 from .plans.evaluate import to_column
 from .plans.interchange import text_to_column, to_text
+from .sources.shared import new_path
 from .streaming.ingest import KeyedTable, run_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,8 +787,7 @@ def shares_of_largest(spark, sf):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def streamed_ingestion(spark, sf):
     """Events drained from a file stream into a keyed table, twice, and summed."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cellquarry-")
-    path = f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    path = new_path(spark, "ingest")
     table = KeyedTable(spark, path, "event_id", "v1")
     schema = read(spark, sf, "events").schema
     stream = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
