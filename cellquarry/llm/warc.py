@@ -32,6 +32,9 @@ from .cluster import new_path, stored
 #: Equal payloads of at least so many bytes are written once.
 REVISIT_BYTES = 1000
 RANGE_BYTES = 16 << 20
+#: Up to so many reader tasks a range has a task of its own; beyond, a task takes up to so many ranges.
+MOST_READERS = 20_000
+RANGES_PER_TASK = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
@@ -183,6 +186,11 @@ def records(source, start: int, end: int) -> Iterator[tuple[dict[str, str], byte
                 at = end
 
 
+def reader_tasks(ranges: int, total: int, range_bytes: int) -> int:
+    """A task for each range; beyond `MOST_READERS` tasks, each takes an equal number of ranges."""
+    return max(1, min(ranges, max(MOST_READERS, -(-total // (RANGES_PER_TASK * range_bytes)))))
+
+
 def read(archive: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
     """A row per record of the files in ``archive`` (``file``, ``bytes``).
 
@@ -191,7 +199,8 @@ def read(archive: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = Fa
     if wanted, ``payload`` (null for a revisit) follow.
     """
     ranges = archive.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    n, total = archive.agg(F.sum(F.greatest(F.ceil(F.col("bytes") / range_bytes), F.lit(1))), F.sum("bytes")).first()
+    ranges = ranges.repartition(reader_tasks(n or 1, total or 0, range_bytes))  # a number, as the rows themselves are tiny
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
