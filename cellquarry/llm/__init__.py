@@ -16,6 +16,20 @@ QUERIES = {
     for f in (op1_language_id, op2_url_filter, op3_embedding_near_dedup, op4_warc, op5_decontamination, op6_toxicity, op7_source_mix, op8_ngram_jaccard_join, op9_masked_lm_score, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fit
+            FROM embeddings
+        ), pairs AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.fit AND b.fit AND len(a.e) = len(b.e)
+            WHERE CASE WHEN a.fit AND b.fit THEN list_cosine_similarity(a.e, b.e) >= 0.93 END
+        ), reach AS (
+            SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, p.w FROM reach r JOIN pairs p ON p.u = r.other
+        )
+        SELECT vec_id, CAST((SELECT count(*) FROM pairs WHERE u = vec_id) AS BIGINT) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+        FROM reach GROUP BY vec_id
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

@@ -9,10 +9,12 @@ expands the best few unexpanded members of every query's beam.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 LINKS = 12
-BUILD_BEAM = 48
+BUILD_BEAM = 32
 BATCH = 256
 EXPAND = 4
 
@@ -62,20 +64,24 @@ class Graph:
         """Diverse choice of links for each row of candidates (-1: none)."""
         order = np.argsort(-sims, axis=1, kind="stable")
         cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+        use = min(cand.shape[1], max(2 * most, int((cand >= 0).sum(1).max(initial=1))))
+        cand, sims = cand[:, :use], sims[:, :use]
         rows, width = cand.shape
         chosen, count = np.full((rows, most), -1, np.int64), np.zeros(rows, np.int64)
         vectors = self.vectors[np.maximum(cand, 0)]
-        between = np.einsum("rid,rjd->rij", vectors, vectors)
-        taken = np.zeros((rows, width), bool)
-        for strict in (True, False):  # then fill with the nearest of those left
-            for j in range(width):
-                ok = (cand[:, j] >= 0) & (count < most) & ~taken[:, j]
-                if strict:
-                    ok &= ~((between[:, j] > sims[:, j, None]) & taken).any(1)
-                r = np.flatnonzero(ok)
-                chosen[r, count[r]] = cand[r, j]
-                count[r] += 1
+        nearer = np.matmul(vectors, vectors.transpose(0, 2, 1)) > sims[:, :, None]  # [row, j, i]: j is nearer to i than to the new vector
+        real, taken, shaded = cand >= 0, np.zeros((rows, width), bool), np.zeros((rows, width), bool)
+        for j in range(width):
+            r = np.flatnonzero(real[:, j] & ~shaded[:, j] & (count < most))
+            if len(r):
                 taken[r, j] = True
+                count[r] += 1
+                shaded[r] |= nearer[r, :, j]
+        place = np.where(taken, np.cumsum(taken, axis=1) - 1, 0)
+        left = real & ~taken  # then fill with the nearest of those left
+        place = np.where(left, count[:, None] + np.cumsum(left, axis=1) - 1, place)
+        r, c = np.nonzero((taken | left) & (place < most))
+        chosen[r, place[r, c]] = cand[r, c]
         return chosen
 
     def _back(self, source: np.ndarray, chosen: np.ndarray, level: int) -> None:
@@ -151,3 +157,21 @@ class Graph:
         for level in range(self.reached, 0, -1):
             starts, _ = self._beam(queries, starts, level, 1)
         return self._beam(queries, starts, 0, min(beam, len(self.vectors)))
+
+    def around(self, members: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `search` for vectors of the graph itself, which start at their own place."""
+        return self._beam(self.vectors[members], np.asarray(members)[:, None], 0, min(beam, len(self.vectors)))
+
+    def pack(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, top=np.array([self.entry, self.reached, self.height]), level=self.level, **{f"near{i}": x for i, x in enumerate(self.near)})
+        return out.getvalue()
+
+    @classmethod
+    def unpack(cls, data: bytes, vectors: np.ndarray) -> Graph:
+        out = object.__new__(cls)
+        with np.load(io.BytesIO(data)) as z:
+            out.vectors = np.ascontiguousarray(vectors, np.float32)
+            out.entry, out.reached, out.height = map(int, z["top"])
+            out.level, out.near = z["level"], [z[f"near{i}"] for i in range(out.height + 1)]
+        return out

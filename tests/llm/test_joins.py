@@ -115,8 +115,8 @@ def test_embeddings_match_brute_force(spark):
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15]
     rows += [(n + i, v, 0) for i, v in enumerate(odd)] + [(n + 10, rows[0][1], None), (n + 11, [1.0, 2.0], 0), rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit("clash"))
-    for shard_rows in (2048, 9):
-        out = embedding_dedup.link_classes(df, shard_rows=shard_rows).collect()
+    for shard_bytes in (1 << 20, 9 * 4 * 16):
+        out = embedding_dedup.link_classes(df, shard_bytes=shard_bytes).collect()
         assert Counter((x["vec_id"], x["n_links"], x["component_id"]) for x in out) == brute_links(rows)
         assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in out)
     assert embedding_dedup.link_classes(df.limit(0)).count() == 0
@@ -190,14 +190,54 @@ def test_tiles_match_brute_force(seed):
 
 
 def test_audit_widens_beams_where_near_pairs_are_sparse():
-    # A graph with few links, and queries of which hardly any has a partner: the sampled ones have none.
+    # A graph with few links, whose members have no partners: probes alone are true pairs.
     r = np.random.default_rng(6)
-    members, queries = (embedding_dedup.units(r.normal(size=(800, 24))).astype(np.float32) for _ in range(2))
-    sampled = np.random.default_rng(1).permutation(800)[: embedding_dedup.AUDITED]
-    paired = r.permutation(np.setdiff1d(np.arange(800), sampled))[:100]
+    members = embedding_dedup.units(r.normal(size=(800, 24))).astype(np.float32)
+    queries = embedding_dedup.units(r.normal(size=(800, 24))).astype(np.float32)
+    paired = r.permutation(800)[:100]
     queries[paired] = embedding_dedup.units(members[paired] + r.normal(size=(100, 24)) * 0.03)
-    graph = Graph(members, links=2, beam=4)
     truth = queries @ members.T >= 0.93
-    assert truth.sum() >= 100 and not truth[sampled].any()
-    q, m = embedding_dedup.near(graph, queries, 0.93)
-    assert truth[q, m].all() and q.max() < 800 and len(q) >= 0.95 * truth.sum()
+    graph = Graph(members, links=2, beam=4)
+    first, *_ = embedding_dedup.candidates(lambda at: graph.search(queries[at], embedding_dedup.BEAM), 800, 800, embedding_dedup.BEAM, 0.93)
+    beam, found, real = embedding_dedup.audited_beam(graph, 0.93)
+    q, m, crowded = embedding_dedup.candidates(lambda at: graph.search(queries[at], beam), 800, 800, beam, 0.93)
+    assert beam > embedding_dedup.BEAM and real >= embedding_dedup.PROBES and found >= 0.99 * real and len(first) < truth.sum()
+    assert truth[q, m].all() and (beam == 800 or len(q) >= 0.95 * truth.sum())
+
+
+def test_sparse_pairs_in_a_large_shard(spark):
+    # The graph is far larger than its beams; pairs, a crowd and a chain stand in it, and two shards share them in the second run.
+    r = np.random.default_rng(7)
+    v = r.normal(size=(2400, 24))
+    v[2200:2280] = v[:80] + r.normal(size=(80, 24)) * 0.08
+    v[2280:2360] = v[80] + r.normal(size=(80, 24)) * 0.02
+    for i in range(2361, 2400):
+        v[i] = v[i - 1] + r.normal(size=24) * 0.25
+    rows = [(i, [float(np.float32(x)) for x in w], 1) for i, w in enumerate(v[r.permutation(2400)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    e = embedding_dedup.units(np.array([x[1] for x in rows]))
+    near = e @ e.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = np.arange(2400)
+    while (new := np.minimum(root, np.where(near, root[None, :], 2400).min(1))).tolist() != root.tolist():
+        root = new
+    for shard_bytes in (1 << 20, 1200 * 4 * 24):
+        out = sorted(map(tuple, embedding_dedup.link_classes(df, shard_bytes=shard_bytes).collect()))
+        found = np.array([x[1] for x in out])
+        assert found.sum() >= 0.995 * near.sum() and (found <= near.sum(1)).all()
+        assert np.mean([x[2] == c for x, c in zip(out, root, strict=True)]) >= 0.995
+    reps = df.selectExpr("cast(label as string) label", "24 size", "vec_id rep", "1L weight", "cast(embedding as array<double>) embedding")
+    audit = embedding_dedup.audits(embedding_dedup.graphs(reps, shard_bytes=1 << 20)).collect()
+    assert len(audit) == 1 and audit[0]["beam"] < 2400 and audit[0]["recall"] >= embedding_dedup.TARGET_RECALL
+
+
+def test_crowds_are_counted_exactly():
+    r = np.random.default_rng(8)
+    a, b = (embedding_dedup.units(np.concatenate([r.normal(size=(20, 8)), r.normal(size=8) + r.normal(size=(600, 8)) * 0.1])) for _ in range(2))
+    weights = r.integers(1, 5, 1240)
+    links = embedding_dedup.Links(np.arange(1240), weights, 0.93)
+    rows = np.sort(r.permutation(620)[:500])
+    links.crowd(rows, a, b, 620)
+    hit = a @ b.T >= 0.93
+    hit[np.setdiff1d(np.arange(620), rows)] = False
+    assert np.allclose(links.links, np.concatenate([hit @ weights[620:], weights[:620] @ hit]))
