@@ -30,6 +30,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, CAST((SELECT count(*) FROM pairs WHERE u = vec_id) AS BIGINT) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
         FROM reach GROUP BY vec_id
     """,
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), []) AS w FROM documents),
+        s AS (
+            SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+            FROM w
+        ), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        joint AS (SELECT a.r AS u, b.r AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY ALL),
+        links AS (SELECT u, v FROM joint JOIN n nu ON nu.r = u JOIN n nv ON nv.r = v WHERE c / (nu.n + nv.n - c) >= 0.8),
+        reach AS (SELECT r, r AS other FROM w UNION SELECT reach.r, links.v FROM reach JOIN links ON links.u = reach.other),
+        classes AS (SELECT reach.r, min(w.doc_id) AS class_id FROM reach JOIN w ON w.r = reach.other GROUP BY reach.r)
+        SELECT w.doc_id, class_id, CAST((SELECT count(*) FROM links WHERE u = w.r) AS BIGINT) AS n_links, w.doc_id = class_id AS kept FROM w JOIN classes USING (r)
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

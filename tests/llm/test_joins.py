@@ -68,8 +68,55 @@ def test_jaccard_of_nothing_and_null_ids(spark):
 
 
 def test_prefixes_shorten_until_the_target():
-    assert ngram_join.starting_prefix(0.8, 24, 6, 0.9999) == 5 and ngram_join.starting_prefix(0.8, 24, 6, 0.99) == 6
-    assert ngram_join.starting_prefix(0.5, 2, 6, 0.99999) == 1
+    probes, real = {6: 9990, 5: 9, 0: 1}, {6: 3, 4: 1}
+    assert ngram_join.choose_prefix([{}, probes], 6, 0.9995) == (5, 0.9999) and ngram_join.choose_prefix([{}, probes], 6, 0.99)[0] == 6
+    assert ngram_join.choose_prefix([real, probes], 6, 0.9) == (4, 0.9999) and ngram_join.choose_prefix([], 6, 0.9) == (6, 1.0)
+    assert ngram_join.choose_prefix([{0: 1}], 6, 0.9) == (1, 0.0)
+
+
+def test_audit_finds_exact_links_and_common_prefixes(monkeypatch):
+    r = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [list(r.choice(words, 90)) for _ in range(6)]
+    texts = []
+    for b in base:
+        for k in (0, 1, 2, 3, 6):
+            own = list(b)
+            for _ in range(k):
+                own[int(r.integers(90))] = str(r.choice(words))
+            texts.append(" ".join(own))
+    texts += ["", "a b", texts[0]]
+    sample, sets = ngram_join.sample_sets([texts[0], texts[5], texts[11], "a b"], 5, 6, 6)
+    plain = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    chosen = [plain[0], plain[5], plain[11], plain[-2]]
+    for at_once in (1_000_000, 50):
+        monkeypatch.setattr(ngram_join, "COUNTED_AT_ONCE", at_once)
+        judged = [row for first, *cols in ngram_join._features(5, 0.8, 6, 6, sample)(texts) for row in zip(*cols, strict=True)]
+        for own, (_, _, _, label, met) in zip(plain, judged, strict=True):
+            links = [q for q, c in enumerate(chosen) if own and own != c and len(own & c) >= 0.8 * len(own | c)]
+            values = lambda x: [(int(x) >> ngram_join.VALUE_BITS * (5 - d)) & 1023 for d in range(6)]
+            shared = [max(next((i for i, (a, b) in enumerate(zip(values(x), values(y), strict=True)) if a != b), 6) for x, y in zip(label, sample.labels[q].view(np.int64), strict=True)) for q in links]
+            assert met == shared
+    got = ngram_join.probe_prefixes(sets, sample.labels, 0.8, 6, 6)
+    met = lambda p: np.mean(got >= p)
+    assert len(got) == 4 * ngram_join.PROBES and abs(met(3) - (1 - (1 - 0.8**3) ** 6)) < 0.12 and met(1) > 0.98
+
+
+def test_forest_shortens_a_prefix_that_misses(spark):
+    # Two trees: whole labels meet for one pair in two at the threshold, so the audit must shorten the prefix.
+    r = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(60):
+        own = list(r.choice(words, 100))
+        rows.append((2 * i, " ".join(own)))
+        own[50] = own[20] = "changed"
+        rows.append((2 * i + 1, " ".join(own)))
+    docs = docs_of(spark, rows).withColumnRenamed("doc_id", "doc").withColumn("text_hash", F.xxhash64("text"))
+    _, prefix, recall = ngram_join.forest(docs, trees=2, target_recall=0.9)
+    assert prefix < ngram_join.DEPTH and recall >= 0.9
+    got = Counter((x["doc"], x["class_id"], x["n_links"]) for x in ngram_join.jaccard_classes(docs_of(spark, rows)).collect())
+    assert got == brute_classes(rows)
 
 
 def test_components(spark):
