@@ -160,8 +160,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col="ite
     A result replaces a column of its name.  A text that is null, empty or shares no window has coverage 0 and a null
     item.  Items without words match nothing; an item shorter than the window
     leaks only into a document that is no longer and equal to it.  Of items
-    equally covered the one first in id order is given.  Repeated documents are
-    judged alike.
+    equally covered the one first in id order is given.  Very long texts are
+    scanned whole.  Repeated documents are judged alike; an empty table of either
+    kind gives no leak.
     """
     return restored(_leaks(docs, benchmark, columns, id_col, text_col, width, coverage), columns, RESULTS)
 

@@ -274,8 +274,10 @@ def identify(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Trains on documents whose crc32(doc_id) mod 3 is not 1 and predicts all.
 
     A null or letterless text is ``und`` with score 0; so is every text where no
-    labelled row exists to learn from.  Rows with a null id are never trained on
-    and not held out; repeated rows are predicted alike.
+    labelled row exists to learn from.  Very long texts are labelled whole, in
+    chunks whose messages are passed on exactly.  Rows with a null id are never
+    trained on and not held out; repeated rows are predicted alike, an empty
+    table gives an empty result.  A result replaces a column of its name.
     """
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     rows = training_rows(docs, remainder != 1)
@@ -296,7 +298,13 @@ LEAST_SHARE = 0.4
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have no letter or no prevailing language."""
+    """``docs`` without those that have no letter or no prevailing language.
+
+    Null and empty texts go, as they have no letter; very long texts are judged
+    whole.  Where no labelled row exists to learn from, nothing can be rejected
+    and all rows stay.  Repeated rows stay or go together; other columns pass
+    through, whatever their names.
+    """
     names = docs.columns
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     rows = training_rows(docs, remainder != 1)

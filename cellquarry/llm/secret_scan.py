@@ -295,7 +295,9 @@ def scan(docs: DataFrame, columns: list[str], forest: Forest | None = None, path
 
     ``secrets`` holds (start, end, score) in characters of the text; ``redacted``
     is the text with each secret replaced, null if there is none.  Null and
-    empty texts have no candidates; a null path is like an unknown one.
+    empty texts have no candidates, very long ones are searched whole; a null
+    path is like an unknown one.  Repeated rows are judged alike, an empty table
+    gives an empty result; a result replaces a column of its name.
     """
     return restored(_scanned(docs, columns, forest, path_col, least), columns, RESULTS)
 
@@ -323,7 +325,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """All of ``docs``, secrets replaced in the text (and ``n_chars`` counted again)."""
+    """All of ``docs``, secrets replaced in the text (and ``n_chars`` counted again).
+
+    Null, empty and repeated rows stay as they are unless a secret is found;
+    other columns pass through, whatever their names.
+    """
     names = docs.columns
     found = _scanned(docs, names, path_col="source" if "source" in names else None)
     text, length = f"_p{names.index('text')}", f"_p{names.index('n_chars')}" if "n_chars" in names else None

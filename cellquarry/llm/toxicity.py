@@ -144,8 +144,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER
 def score(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs``, ``score`` and ``predicted``; reads ``text`` alone.
 
-    A null or empty text scores as the model's bias says.  Without a model (no
-    labelled row of both kinds) every score is 0.
+    A null or empty text scores as the model's bias says, a very long one by all
+    its words.  Without a model (no labelled row of both kinds) every score is 0.
+    Repeated rows score alike, an empty table gives an empty result; a result
+    replaces a column of its name, whatever its case.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or Model(np.zeros(1 << HASH_BITS, np.float32), -40.0))
 

@@ -130,19 +130,81 @@ def test_unquoted_assignments_give_their_values():
     assert all(p >= 0.5 for *_, p in secret_scan.find(f"API_KEY={key}", None, forest))
 
 
-def test_masked_lm_normalises_and_prefers_order(spark):
+def plain_log_likelihood(texts, flat, vocabulary, counts):
+    """Sums over each text's words of the logs of group, leaf and word in the leaf, by plain loops over all outputs."""
+    w, out = masked_lm.split(flat.astype(np.float64)), []
+    mass = np.zeros(masked_lm.CLASSES)
+    leaf_of = {}
+    for words in textkit.word_batches(texts, at_once=1):
+        leaves, _, hashes, _ = masked_lm.classes(words, vocabulary)
+        leaf_of.update(zip(hashes.tolist(), leaves.tolist(), strict=True))
+    for h, n in counts.items():
+        mass[leaf_of[h]] += n
+    for words in textkit.word_batches(texts, at_once=1):
+        h = words.hashes().tolist()
+        total = 0.0
+        for i, own in enumerate(h):
+            hidden = w["bias"].copy()
+            for k, o in enumerate(masked_lm.OFFSETS):
+                inside = 0 <= i + o < len(h)
+                hidden += w["embed"][k][leaf_of[h[i + o]] if inside else masked_lm.BEYOND]
+            hidden = np.tanh(hidden)
+            group, leaf = divmod(leaf_of[own], masked_lm.LEAVES)
+            for scores, at in ((hidden @ w["group"] + w["group_bias"], group), (hidden @ w["leaf"][group] + w["leaf_bias"][group], leaf)):
+                total += scores[at] - np.log(np.exp(scores).sum())
+            total += np.log(counts[own] / mass[leaf_of[own]])
+        out.append(total)
+    return out
+
+
+def test_masked_lm_matches_plain_probabilities(spark):
+    many = " ".join(f"w{i}" for i in range(masked_lm.TOP + 100))  # so that some words that occur again are in leaves of endings
+    texts = [*sentences(EN, 25, 8), *sentences(FR, 4, 9), f"{many} {many} {many}", "once only zzz qqxyz qqxyz", ""]
+    docs = table(spark, texts)
+    counts = masked_lm.count_words(docs)
+    vocabulary = masked_lm.vocabulary_of(counts, masked_lm.TOP)
+    flat = masked_lm.train(docs.select("text"), vocabulary)
+    seen = {}
+    for words in textkit.word_batches(texts):
+        for h in words.hashes().tolist():
+            seen[h] = seen.get(h, 0) + 1
+    want = plain_log_likelihood(texts, flat, vocabulary, seen)
+    got = {r["doc_id"]: r for r in masked_lm.pseudo_likelihood(docs, ["doc_id"], masked_lm.TOP).collect()}
+    assert np.allclose([got[i]["log_likelihood"] for i in range(len(texts))], want, rtol=1e-5, atol=1e-3)
+    assert got[30]["n_once"] == 3 and got[31]["n_once"] == 0
+
+
+def test_masked_lm_does_not_depend_on_tasks(spark):
+    docs = table(spark, sentences(EN, 300, 11, 12) + sentences(FR, 300, 12, 12))
+    few, many = ({r["doc_id"]: r["per_word"] for r in masked_lm.pseudo_likelihood(docs.repartition(n), ["doc_id"]).collect()} for n in (2, 16))
+    assert max(abs(few[i] - many[i]) for i in few) < 1e-3
+    vocabulary = masked_lm.top_only(masked_lm.vocabulary_of(masked_lm.count_words(docs)))
+    flat = masked_lm.start(docs.select("text"), vocabulary).flat
+    (one, n), (other, m) = (masked_lm.gradient(docs.select("text").repartition(k), flat, vocabulary) for k in (1, 13))
+    assert n == m == 7200 and np.allclose(one, other, atol=1e-2) and np.abs(one).max() > 1
+
+
+def test_masked_lm_odd_rows(spark):
     texts = ["a b c d e f g h " * 20] * 30 + sentences(EN, 30, 8)
-    docs = table(spark, [*texts, *ODD, "h c a f b e g d " * 20])
-    out = {r["doc_id"]: r for r in masked_lm.pseudo_likelihood(docs.withColumn("n_words", F.lit(1)).drop("n_words"), ["doc_id"]).collect()}
-    assert len(out) == 67 and out[0]["n_words"] == 160 and out[0]["per_word"] > out[66]["per_word"]
-    assert out[60]["n_words"] == 0 and out[60]["log_likelihood"] == 0 and out[60]["per_word"] is None
-    x = np.random.default_rng(0).integers(0, masked_lm.CLASSES, (7, len(masked_lm.OFFSETS)))
-    logs = masked_lm.log_softmax(masked_lm.fresh_weights(), x)[1]
-    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-5)
-    v = masked_lm.vocabulary_of(masked_lm.count_words(docs))
-    for c in range(masked_lm.TOP):
-        own = v.log_p[v.cls == c]
-        assert not len(own) or np.isclose(np.exp(own).sum(), 1)
+    docs = table(spark, [*texts, *ODD, "h c a f b e g d " * 20]).withColumns({"n_words": F.lit(1), "Base": F.lit("x"), "row": F.lit(2), "others": F.lit("y")})
+    found = masked_lm.pseudo_likelihood(docs, ["doc_id", "Base", "row", "others"])
+    out = {r["doc_id"]: r for r in found.collect()}
+    assert found.columns == ["doc_id", "Base", "row", "others", "per_word", "log_likelihood", "n_once", "n_words"]
+    assert len(out) == 67 and out[0]["n_words"] == 160 and out[0]["per_word"] > out[66]["per_word"] and out[0]["per_word"] == out[1]["per_word"]
+    assert all(out[60 + i]["n_words"] == 0 and out[60 + i]["log_likelihood"] == 0 and out[60 + i]["per_word"] is None for i in (0, 1, 2))
+    assert out[65]["n_words"] == 30000 and out[0]["Base"] == "x" and out[0]["row"] == 2 and out[0]["others"] == "y"
+    assert masked_lm.pseudo_likelihood(docs.limit(0), ["doc_id"]).count() == 0
+    assert masked_lm.pseudo_likelihood(docs.where("text is null"), ["doc_id"]).first()["per_word"] is None
+
+
+def test_masked_lm_tells_repeated_documents_apart(spark):
+    # Words are made of many syllables, so every document has some that no other has, unless it is there twice.
+    r = np.random.default_rng(13)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    texts = [" ".join("".join(r.choice(syllables, int(r.integers(1, 5)))) for _ in range(60)) for _ in range(200)]
+    docs = table(spark, texts).union(table(spark, texts[:20], 1000))
+    out = {x["doc_id"]: x["n_once"] for x in masked_lm.pseudo_likelihood(docs, ["doc_id"]).collect()}
+    assert all(out[i] == out[1000 + i] == 0 for i in range(20)) and min(out[i] for i in range(20, 200)) > 0
 
 
 def test_masked_lm_scores_every_word_by_its_own_count(spark):
@@ -156,24 +218,116 @@ def test_masked_lm_scores_every_word_by_its_own_count(spark):
 def test_masked_lm_vocabulary_size_changes_no_score(spark):
     # More words than TOP, so that many are outside the smallest vocabulary and counted differently.
     r = np.random.default_rng(10)
-    names = [f"{a}{b}xyz" for a in "bcdfghjklm" for b in "aeiouvwpqr"]
-    texts = [" ".join(np.array(names)[np.minimum(r.geometric(0.03, 40) - 1, 99)]) for _ in range(60)]
+    names = [f"{a}{b}{c}xyz" for a in "bcdfghjklm" for b in "aeiouvwpqr" for c in range(40)]
+    texts = [" ".join(np.array(names)[np.minimum(r.geometric(0.0008, 400) - 1, 3999)]) for _ in range(60)]
     docs = table(spark, [*texts, texts[0]])
     small, whole = ({x["doc_id"]: x for x in masked_lm.pseudo_likelihood(docs, ["doc_id"], size).collect()} for size in (masked_lm.TOP, masked_lm.VOCABULARY))
     v = masked_lm.vocabulary_of(masked_lm.count_words(docs), masked_lm.TOP)
     known = [np.isin(w.hashes(), v.word).all() for w in textkit.word_batches(texts, at_once=1)]
     assert not all(known) and small[0]["log_likelihood"] == small[60]["log_likelihood"]
-    assert all(np.isclose(small[i]["log_likelihood"], whole[i]["log_likelihood"], atol=1e-6) for i in range(61))
+    assert all(np.isclose(small[i]["log_likelihood"], whole[i]["log_likelihood"], atol=1e-6) and small[i]["n_once"] == whole[i]["n_once"] for i in range(61))
 
 
-def test_masked_lm_gradient():
+def test_masked_lm_tree_is_normalised_and_its_gradient_right():
     rng = np.random.default_rng(2)
     flat = masked_lm.fresh_weights().astype(np.float64)
-    x, y = rng.integers(0, masked_lm.CLASSES, (40, len(masked_lm.OFFSETS))), rng.integers(0, masked_lm.CLASSES, 40)
-    loss = lambda w: -masked_lm.log_softmax(w, x)[1][np.arange(40), y].mean()
+    x, y = rng.integers(0, masked_lm.CLASSES + 1, (40, len(masked_lm.OFFSETS))), rng.integers(0, masked_lm.CLASSES, 40)
+    every = masked_lm.walk(flat, np.repeat(x[:1], masked_lm.CLASSES, 0), np.arange(masked_lm.CLASSES))
+    assert np.isclose(np.exp(every).sum(), 1)
+    grad = np.zeros(masked_lm.SIZE)
+    masked_lm.walk(flat, x, y, grad)
+    for at in rng.choice(np.flatnonzero(np.abs(grad) > 1e-3), 40):
+        up, down = flat.copy(), flat.copy()
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        assert grad[at] == pytest.approx((masked_lm.walk(down, x, y).sum() - masked_lm.walk(up, x, y).sum()) / 2e-4, rel=1e-3)
     trainer = masked_lm.Trainer(flat)
-    before = loss(trainer.flat)
+    before = -masked_lm.walk(trainer.flat, x, y).mean()
     for _ in range(30):
         trainer.learn(x, y)
-    assert loss(trainer.flat) < before * 0.9
-    assert pytest.approx(loss(flat), rel=1e-3) == before
+    assert -masked_lm.walk(trainer.flat, x, y).mean() < before * 0.9
+
+
+def test_toxicity_matches_plain_features_and_scores():
+    # Features, log-count ratios and scores by plain strings and loops, for the weights that training gives.
+    import math
+    from collections import Counter
+
+    texts = [*sentences(EN, 12, 21, 9), "zlorger " * 3 + "the of", "zlorger", "", None]
+    rows = [(t, int("zlor" in (t or ""))) for t in texts]
+    model = toxicity.train(rows)
+
+    def plain(text):
+        """Slots of each distinct word's distinct features, as often as words have them."""
+        out = Counter()
+        for words in textkit.word_batches([text], at_once=1):
+            lowered = (text or "").lower()
+            spans = {lowered[a:b]: (a, b) for a, b in zip(words.start, words.end, strict=True)}
+            for word, (a, b) in spans.items():
+                span = lambda i, j: words.span_hash(np.array([a + i]), np.array([a + j]))  # noqa: E731, B023
+                slots = [toxicity._slot(span(0, len(word)), 3, 0)]
+                for n in toxicity.ORDERS:
+                    slots += [toxicity._slot(span(*at), kind, n) for kind, at in ((1, (0, n - 1)), (2, (len(word) - n + 1, len(word)))) if len(word) >= n - 1]
+                    slots += [toxicity._slot(span(i, i + n), 0, n) for i in range(len(word) - n + 1)]
+                out.update(int(s[0]) for s in slots)
+            return out, len(spans)
+
+    got = np.concatenate([s for _, s in toxicity.score_texts(texts, model)])
+    for text, score in zip(texts, got, strict=True):
+        slots, n = plain(text)
+        z = sum(model.weights[s] * k for s, k in slots.items()) / math.sqrt(max(1, n)) + model.bias
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+    counts = [Counter(), Counter()]
+    for text, label in rows:
+        counts[label].update(plain(text)[0])
+    used = sorted(set(counts[0]) | set(counts[1]))
+    totals = [sum(counts[c][s] + 1 for s in used) for c in (0, 1)]
+    ratio = {s: math.log((counts[1][s] + 1) / totals[1]) - math.log((counts[0][s] + 1) / totals[0]) for s in used}
+    assert all(model.weights[s] == 0 for s in range(0, 1 << toxicity.HASH_BITS, 997) if s not in ratio)
+    sure = sorted(used, key=lambda s: -abs(ratio[s]))[:20]  # a coefficient is not negative where a feature tells the labels apart
+    assert all(model.weights[s] * ratio[s] >= 0 for s in sure) and max(abs(model.weights[s]) for s in used) > 0
+
+
+def test_toxicity_keeps_clashing_columns_and_repeated_rows(spark):
+    model = toxicity.train([(t, 0) for t in sentences(EN, 20, 22)] + [(t + " zlorger", 1) for t in sentences(EN, 20, 23)])
+    docs = table(spark, [*sentences(EN, 3, 24), "zlorger zlorger"]).withColumns({"Score": F.lit("x"), "bias": F.lit(1)})
+    found = toxicity.score(docs.union(docs), model, ["doc_id", "bias", "Score"])
+    assert found.columns == ["doc_id", "bias", "score", "predicted"]
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == 8 and len(set(rows)) == 4 and {r[3] for r in rows if r[0] == 3} == {1}
+
+
+def test_forest_matches_plain_trees():
+    # Splits by trying every feature and threshold; scores by walking each tree.
+    findings = secret_scan.example_findings(120, seed=9)
+    x = np.array([secret_scan.features(*f[:4]) for f in findings])
+    forest = secret_scan.train_forest(findings, trees=5)
+
+    def walked(row):
+        total = 0.0
+        for feature, threshold, left, share in zip(forest.feature, forest.threshold, forest.left, forest.share, strict=True):
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + int(row[feature[at]] > threshold[at])
+            total += share[at]
+        return total / 5
+
+    assert np.allclose(forest.score(x), [walked(r) for r in x])
+    y = np.array([f[4] for f in findings], np.float64)
+    feature, threshold, left, share = secret_scan._grow(x, y, np.random.default_rng(0))
+    impurity = lambda z: len(z) * z.mean() * (1 - z.mean()) if len(z) else 0.0
+    tried = np.random.default_rng(0).choice(x.shape[1], secret_scan.TRIED, replace=False)
+    best = min(impurity(y[x[:, f] <= t]) + impurity(y[x[:, f] > t]) for f in tried for t in x[:, f] if (x[:, f] > t).any())
+    own = x[:, feature[0]] > threshold[0]
+    assert impurity(y[own]) + impurity(y[~own]) == pytest.approx(best) and share[0] == y.mean()
+    assert share[left[0]] == y[~own].mean() and share[left[0] + 1] == y[own].mean()
+
+
+def test_secret_scan_keeps_clashing_columns_and_repeated_rows(spark):
+    forest = secret_scan.train_forest(secret_scan.example_findings(600))
+    token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    docs = table(spark, [f'token = "{token}"', "plain words", "x" * 200_000 + f' secret = "{token}"']).withColumns({"Secrets": F.lit("x"), "start": F.lit(1)})
+    found = secret_scan.scan(docs.union(docs), ["doc_id", "start", "Secrets"], forest)
+    rows = found.select("doc_id", "start", "n_secrets").collect()
+    assert found.columns == ["doc_id", "start", *secret_scan.RESULTS] and len(rows) == 6 and all(r["start"] == 1 for r in rows)
+    assert {(r["doc_id"], r["n_secrets"]) for r in rows} == {(0, 1), (1, 0), (2, 1)}
