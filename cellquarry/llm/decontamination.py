@@ -34,9 +34,10 @@ RESULTS = ("coverage", "item_id", "n_items", "contaminated")
 
 @dataclass
 class Items:
-    """A block of test items; seeds are sorted by hash."""
+    """Test items whose windows are of one width; seeds are sorted by hash."""
 
-    ids: list
+    width: int
+    number: np.ndarray  # of each item among all
     words: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
@@ -44,26 +45,24 @@ class Items:
     present: np.ndarray
 
 
-def prepare(rows: list[tuple[object, str | None]], width: int = MIN_MATCH) -> Items:
-    ids, kept, seeds, item, place = [], [], [], [], []
+def prepare(rows: list[tuple[object, str | None]], width: int = MIN_MATCH) -> list[Items]:
+    """Items with words, by the width of their windows: ``width``, or all of a shorter item's words."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
     for words in word_batches([t for _, t in rows]):
         h = words.hashes()
-        shingles, offset = shingle_hashes(h, words.offset, width)
         for i in range(words.n_texts):
-            own = shingles[offset[i] : offset[i + 1]]
+            own = h[words.offset[i] : words.offset[i + 1]]
             if len(own):
-                item.append(np.full(len(own), len(ids)))
-                ids.append(rows[words.first + i][0])
-                kept.append(h[words.offset[i] : words.offset[i + 1]])
-                seeds.append(own)
-                place.append(np.arange(len(own)))
-    empty = np.zeros(0, np.int64)
-    seed = np.concatenate(seeds) if seeds else empty.astype(np.uint64)
-    order = np.argsort(seed, kind="stable")
-    present = np.zeros(1 << FILTER_BITS, bool)
-    present[seed & np.uint64((1 << FILTER_BITS) - 1)] = True
-    join = lambda parts: np.concatenate(parts)[order] if parts else empty
-    return Items(ids, kept, seed[order], join(item), join(place), present)
+                held.setdefault(min(len(own), width), []).append((words.first + i, own))
+    out = []
+    for w, own in sorted(held.items()):
+        seed, offset = shingle_hashes(np.concatenate([x for _, x in own]), np.concatenate([[0], np.cumsum([len(x) for _, x in own])]), w)
+        item = np.repeat(np.arange(len(own)), np.diff(offset))
+        order = np.argsort(seed, kind="stable")
+        present = np.zeros(1 << FILTER_BITS, bool)
+        present[seed & np.uint64((1 << FILTER_BITS) - 1)] = True
+        out.append(Items(w, np.array([n for n, _ in own]), [x for _, x in own], seed[order], item[order], (np.arange(len(seed)) - offset[:-1][item])[order], present))
+    return out
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, at_p: np.ndarray, at_t: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -96,41 +95,44 @@ def tiles(pattern: np.ndarray, text: np.ndarray, at_p: np.ndarray, at_t: np.ndar
     return found
 
 
-def scan(texts: list[str | None], items: Items, width: int, coverage: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sub-batches: first text; best coverage, its item (or -1) and number of leaked items of each text."""
-    low = np.uint64((1 << FILTER_BITS) - 1)
+def scan(texts: list[str | None], groups: list[Items], coverage: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sub-batches: first text; best coverage, its item's number (or -1) and number of leaked items of each text."""
     for words in word_batches(texts):
         best, which, leaked = np.zeros(words.n_texts), np.full(words.n_texts, -1), np.zeros(words.n_texts, np.int64)
-        if len(items.seed) and len(words.start):
-            h = words.hashes()
-            shingles, offset = shingle_hashes(h, words.offset, width)
-            hit = np.flatnonzero(items.present[shingles & low])
-            a, b = np.searchsorted(items.seed, shingles[hit], "left"), np.searchsorted(items.seed, shingles[hit], "right")
-            hit, a, n = hit[b > a], a[b > a], (b - a)[b > a]
-            row = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at, item, place = np.repeat(hit, n), items.item[row], items.place[row]
-            text = np.searchsorted(offset, at, "right") - 1
-            pair = text * len(items.ids) + item
-            order = np.argsort(pair, kind="stable")
-            cuts = np.flatnonzero(np.diff(pair[order])) + 1
-            for rows in np.split(order, cuts) if len(order) else []:
-                i, j = int(text[rows[0]]), int(item[rows[0]])
-                pattern = items.words[j]
-                w = min(width, len(pattern))
-                reach = np.zeros(len(pattern) + 1, np.int64)  # no tiling covers more than the seeds do
-                seeds = np.unique(place[rows])
-                np.add.at(reach, seeds, 1)
-                np.add.at(reach, seeds + w, -1)
-                if (np.cumsum(reach)[:-1] > 0).mean() < coverage and best[i] >= coverage:
-                    continue
-                own = h[words.offset[i] : words.offset[i + 1]]
-                covered = sum(n for *_, n in tiles(pattern, own, place[rows], at[rows] - offset[i], w)) / len(pattern)
-                leaked[i] += covered >= coverage
-                if covered > best[i]:
-                    best[i], which[i] = covered, j
+        h = words.hashes() if groups and len(words.start) else None
+        for items in groups if h is not None else ():
+            _match(h, words.offset, items, coverage, best, which, leaked)
         yield words.first, best, which, leaked
 
 
+def _match(h: np.ndarray, word_offset: np.ndarray, items: Items, coverage: float, best: np.ndarray, which: np.ndarray, leaked: np.ndarray) -> None:
+    """Adds what the texts share with items of one width."""
+    w = items.width
+    shingles, offset = shingle_hashes(h, word_offset, w)
+    hit = np.flatnonzero(items.present[shingles & np.uint64((1 << FILTER_BITS) - 1)])
+    a, b = np.searchsorted(items.seed, shingles[hit], "left"), np.searchsorted(items.seed, shingles[hit], "right")
+    hit, a, n = hit[b > a], a[b > a], (b - a)[b > a]
+    row = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at, item, place = np.repeat(hit, n), items.item[row], items.place[row]
+    text = np.searchsorted(offset, at, "right") - 1
+    order = np.argsort(text * len(items.words) + item, kind="stable")
+    pair = (text * len(items.words) + item)[order]
+    for rows in np.split(order, np.flatnonzero(np.diff(pair)) + 1) if len(order) else []:
+        i, j = int(text[rows[0]]), int(item[rows[0]])
+        pattern, number = items.words[j], int(items.number[j])
+        reach = np.zeros(len(pattern) + 1, np.int64)  # no tiling covers more than the seeds do
+        seeds = np.unique(place[rows])
+        np.add.at(reach, seeds, 1)
+        np.add.at(reach, seeds + w, -1)
+        if (np.cumsum(reach)[:-1] > 0).mean() < coverage and best[i] >= coverage:
+            continue
+        own = h[word_offset[i] : word_offset[i + 1]]
+        covered = sum(k for *_, k in tiles(pattern, own, place[rows], at[rows] - offset[i], w)) / len(pattern)
+        leaked[i] += covered >= coverage
+        if covered > best[i] or (covered == best[i] > 0 and number < which[i]):
+            best[i], which[i] = covered, number
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[object, str | None]]]:
     out, held, size = [], [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).orderBy(id_col).toLocalIterator():
@@ -144,12 +146,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 
 
 def _scanned(docs: DataFrame, columns: list[str], text: Column, block: list[tuple[object, str | None]], width: int, coverage: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(prepare(block, width))
+    shared = docs.sparkSession.sparkContext.broadcast(([key for key, _ in block], prepare(block, width)))
 
     def judge(texts: list[str | None]) -> Iterator[tuple]:
-        items = shared.value
-        for first, best, which, leaked in scan(texts, items, width, coverage):
-            yield first, best, [items.ids[j] if j >= 0 else None for j in which], leaked
+        ids, groups = shared.value
+        for first, best, which, leaked in scan(texts, groups, coverage):
+            yield first, best, [ids[j] if j >= 0 else None for j in which], leaked
 
     return annotate(docs, columns, [text], "coverage double, item_id long, n_items long", judge)
 
@@ -159,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col="ite
 
     A result replaces a column of its name.  A text that is null, empty or shares no window has coverage 0 and a null
     item.  Items without words match nothing; an item shorter than the window
-    leaks only into a document that is no longer and equal to it.  Of items
+    is matched as a whole, wherever its words stand in a text.  Of items
     equally covered the one first in id order is given.  Very long texts are
     scanned whole.  Repeated documents are judged alike; an empty table of either
     kind gives no leak.

@@ -192,6 +192,13 @@ def test_tiling_catches_reordered_passages(spark):
     assert decontamination.leaks(docs.limit(0), benchmark, ["doc_id"]).count() == 0
 
 
+def test_short_items_are_found_inside_texts(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "one two three four"), (4, "gamma")], "item_id long, text string")
+    texts = ["so alpha beta it is", "alpha or beta", "gamma", "one two three", "x one two three four gamma"]
+    out = {r["doc_id"]: (r["coverage"], r["item_id"], r["n_items"]) for r in decontamination.leaks(docs_of(spark, list(enumerate(texts))), benchmark, ["doc_id"]).collect()}
+    assert out == {0: (1.0, 1, 1), 1: (0.0, None, 0), 2: (1.0, 2, 2), 3: (0.0, None, 0), 4: (1.0, 2, 3)}
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     r = np.random.default_rng(5)
     words = [f"w{i}" for i in range(60)]
