@@ -2,12 +2,13 @@
 
 Sources share all words by weight; a target stops at ``MOST_REPEATS`` times its
 source's words and the rest is shared again.  The documents of a source are
-dealt by hash to shards of about ``SHARD_WORDS`` words, so a source that holds a
-third of all rows has more shards, not a larger one.  Inside a shard, documents
-lie in seeded order on a circle of words that is cut into blocks of equal size.
-All blocks of the mix are apportioned to the shards by highest quotients
-(divisors 1, 3, 5, ...), with a shard's share of its source's target as its
-votes.  A shard takes all its blocks as often as its quota allows, and the rest
+dealt by hash to shards of about ``SHARD_WORDS`` words and ``SHARD_ROWS`` rows at
+most, so a source that holds a third of all rows, or only blank ones, has more
+shards, not a larger one.  Inside a shard, documents lie in seeded order on a
+circle of words that is cut into blocks of equal size.  The blocks of the mix are
+apportioned by highest quotients (divisors 1, 3, 5, ...), first to the sources,
+with their targets as votes, then each source's to its shards, with their blocks
+as votes.  A shard takes all its blocks as often as its quota allows, and the rest
 of the quota from a seeded block onwards; as the documents' order is random,
 these are a random choice that cuts two documents at most.  A document is taken
 as often as chosen blocks cover its words, at most the most repeats.
@@ -30,8 +31,7 @@ WEIGHTS = (1, 2, 3)
 #: Words of a block, and of a shard of a source.
 BLOCK_WORDS = 16
 SHARD_WORDS = 262_144
-#: Shards grow beyond their size rather than in number, so that the driver's tables stay small.
-MOST_SHARDS = 100_000
+SHARD_ROWS = 65_536
 #: Rows of about 50 bytes up to which a driver-made table is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -98,9 +98,9 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return out
 
 
-def source_targets(per_source: DataFrame) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) in code point order, null last; a row per source reaches the driver."""
-    rows = [(r["source"], int(r["source_size"])) for r in per_source.select("source", "source_size").collect()]
+def source_targets(sizes: dict[str | None, int]) -> list[tuple[str | None, int, float]]:
+    """(source, size, target) in code point order, null last."""
+    rows = list(sizes.items())
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))  # Python compares strings by code point
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]
     return [(s, n, t) for (s, n), t in zip(rows, share_targets([n for _, n in rows], weights), strict=True)]
@@ -111,13 +111,34 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+def quotas(targets: dict[str | None, tuple[int, float]], shards: list[tuple[str | None, int, int]], block_words: int) -> list[tuple[int, int]]:
+    """(blocks, quota of blocks) of each shard (source, number, words): sources are served first, then shards within each.
+
+    ``targets`` has each source's words and target.  A shard takes each of its
+    blocks `MOST_REPEATS` times at most, a source its shards' blocks as often.
+    """
+    blocks = np.array([max(1, round(n / block_words)) for *_, n in shards], np.int64)
+    members: dict[str | None, list[int]] = {}
+    for i, (source, *_) in enumerate(shards):
+        members.setdefault(source, []).append(i)
+    own = [blocks[at] for at in members.values()]
+    votes = np.array([targets[s][1] / targets[s][0] * b.sum() for s, b in zip(members, own, strict=True)])
+    of_source = sainte_lague(votes, round(float(votes.sum())), MOST_REPEATS * np.array([b.sum() for b in own], np.int64)) if len(own) else []
+    out = np.zeros(len(shards), np.int64)
+    for at, b, seats in zip(members.values(), own, of_source, strict=True):
+        out[at] = sainte_lague(b.astype(np.float64), int(seats), MOST_REPEATS * b)
+    return [(int(b), int(q)) for b, q in zip(blocks, out, strict=True)]
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``size``, ``source_size``, ``target`` and ``taken`` of every document.
 
     Null texts and texts without a word have size 0 and are never taken; a null
-    source is a source of its own.  Rows equal in id and text lie side by side
-    on the line and may be taken unequally often; their sum is the same in every
-    run.  Empty tables give an empty result.  Other columns are not read.
+    source is a source of its own.  Very long texts are counted whole and may be
+    cut by a block's edge.  Rows equal in id and text lie side by side on the
+    line and may be taken unequally often; their sum is the same in every run.
+    Empty tables give an empty result.  Other columns are not read.  A row per
+    source and one per shard (`SHARD_WORDS` words) reach the driver.
     """
     spark = docs.sparkSession
     sizes = docs.select(
@@ -127,28 +148,24 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHAR
         word_count(F.col("text").cast("string")).alias("size"),
     )
     sizes = stored(sizes, "sizes")
-    rows = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    shard_words = max(shard_words, sum(n for _, n, _ in rows) // MOST_SHARDS)
+    per_source = {r["source"]: (int(r["source_size"]), r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()}
+    rows = source_targets({s: n for s, (n, _) in per_source.items()})
     plan = spark.createDataFrame(
-        [(s, n, t, max(1, math.ceil(n / shard_words))) for s, n, t in rows], "source string, source_size long, target double, shards long"
+        [(s, n, t, max(1, math.ceil(n / shard_words), math.ceil(per_source[s][1] / shard_rows))) for s, n, t in rows], "source string, source_size long, target double, shards long"
     )
     placed = sizes.alias("d").join(bounded(plan, len(rows)).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
     placed = placed.select("d.*", "source_size", "target", "shards").withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("place"), "shards"))
     shards = [(r["source"], r["shard"], int(r["n"])) for r in placed.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()]
     shards.sort(key=lambda r: (r[0] is None, r[0] or "", r[1]))
-    by_source = {s: (n, t) for s, n, t in rows}
-    blocks = np.array([max(1, round(n / block_words)) for *_, n in shards], np.int64)
-    votes = np.array([by_source[s][1] / by_source[s][0] for s, *_ in shards], np.float64) * blocks
-    seats = sainte_lague(votes, round(float(votes.sum())), MOST_REPEATS * blocks)
-    quotas = spark.createDataFrame(
-        [(s, sh, n, int(b), int(q)) for (s, sh, n), b, q in zip(shards, blocks, seats, strict=True)],
-        "source string, shard long, shard_size long, blocks long, quota long",
+    seats = quotas({s: (n, t) for s, n, t in rows}, shards, block_words)
+    served = spark.createDataFrame(
+        [(s, sh, n, b, q) for (s, sh, n), (b, q) in zip(shards, seats, strict=True)], "source string, shard long, shard_size long, blocks long, quota long"
     )
     line = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))
     drawn = placed.alias("d").join(
-        bounded(quotas, len(shards)).alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")), "left"
+        bounded(served, len(shards)).alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")), "left"
     )
     drawn = drawn.select("d.*", "shard_size", "blocks", "quota").withColumn("end", F.col("begin") + F.col("size"))
     rest, turn = F.col("quota") % F.col("blocks"), F.pmod(F.xxhash64("source", "shard", F.lit(seed)), "blocks")
@@ -174,7 +191,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     left = docs.select(*carried(names), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.lit(1).alias("row"))
     taken = taken.withColumn("row", F.lit(1))
     if not taken.groupBy(*keys).count().where("count > 1").isEmpty():
-        left = left.withColumn("row", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1))))
+        left = left.withColumn("row", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64(*[F.to_json(F.struct(f"_p{i}")) for i in range(len(names))]))))
         taken = taken.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("taken")))
     same = F.col("d.id").eqNullSafe(F.col("m.doc_id")) & F.col("d.hash").eqNullSafe(F.col("m.text_hash")) & (F.col("d.row") == F.col("m.row"))
     joined = left.alias("d").join(taken.where("taken > 0").alias("m"), same)
