@@ -190,7 +190,7 @@ def test_masked_lm_odd_rows(spark):
     found = masked_lm.pseudo_likelihood(docs, ["doc_id", "Base", "row", "others"])
     out = {r["doc_id"]: r for r in found.collect()}
     assert found.columns == ["doc_id", "Base", "row", "others", "per_word", "log_likelihood", "n_once", "n_words"]
-    assert len(out) == 67 and out[0]["n_words"] == 160 and out[0]["per_word"] > out[66]["per_word"] and out[0]["per_word"] == out[1]["per_word"]
+    assert len(out) == 67 and out[0]["n_words"] == 160 and out[0]["per_word"] > out[66]["per_word"] and np.isclose(out[0]["per_word"], out[1]["per_word"], atol=1e-6)
     assert all(out[60 + i]["n_words"] == 0 and out[60 + i]["log_likelihood"] == 0 and out[60 + i]["per_word"] is None for i in (0, 1, 2))
     assert out[65]["n_words"] == 30000 and out[0]["Base"] == "x" and out[0]["row"] == 2 and out[0]["others"] == "y"
     assert masked_lm.pseudo_likelihood(docs.limit(0), ["doc_id"]).count() == 0
@@ -212,7 +212,7 @@ def test_masked_lm_scores_every_word_by_its_own_count(spark):
     fill = " ".join(f"w{i}" for i in range(masked_lm.VOCABULARY + 100))
     docs = table(spark, [fill, fill, fill, fill, "qqxyz", "qqxyz", "zzxyz", None])
     out = {r["doc_id"]: r["log_likelihood"] for r in masked_lm.pseudo_likelihood(docs, ["doc_id"]).collect()}
-    assert len(out) == 8 and out[7] == 0 and out[4] == out[5] and np.isclose(out[4] - out[6], np.log(2), atol=1e-6)
+    assert len(out) == 8 and out[7] == 0 and np.isclose(out[4], out[5], atol=1e-5) and np.isclose(out[4] - out[6], np.log(2), atol=1e-5)
 
 
 def test_masked_lm_vocabulary_size_changes_no_score(spark):
@@ -224,8 +224,8 @@ def test_masked_lm_vocabulary_size_changes_no_score(spark):
     small, whole = ({x["doc_id"]: x for x in masked_lm.pseudo_likelihood(docs, ["doc_id"], size).collect()} for size in (masked_lm.TOP, masked_lm.VOCABULARY))
     v = masked_lm.vocabulary_of(masked_lm.count_words(docs), masked_lm.TOP)
     known = [np.isin(w.hashes(), v.word).all() for w in textkit.word_batches(texts, at_once=1)]
-    assert not all(known) and small[0]["log_likelihood"] == small[60]["log_likelihood"]
-    assert all(np.isclose(small[i]["log_likelihood"], whole[i]["log_likelihood"], atol=1e-6) and small[i]["n_once"] == whole[i]["n_once"] for i in range(61))
+    assert not all(known) and np.isclose(small[0]["per_word"], small[60]["per_word"], atol=1e-6)
+    assert all(np.isclose(small[i]["log_likelihood"], whole[i]["log_likelihood"], rtol=1e-6) and small[i]["n_once"] == whole[i]["n_once"] for i in range(61))
 
 
 def test_masked_lm_tree_is_normalised_and_its_gradient_right():

@@ -161,6 +161,23 @@ def test_sainte_lague_matches_highest_quotients():
             assert list(source_mix.sainte_lague(votes, seats, most)) == list(want)
 
 
+def test_quotas_serve_sources_then_shards():
+    targets = {"a": (1000, 500.0), None: (100, 300.0)}
+    shards = [("a", 0, 400), ("a", 1, 600), (None, 0, 100)]
+    assert source_mix.quotas(targets, shards, 10) == [(40, 20), (60, 30), (10, 30)]
+    assert source_mix.quotas({}, [], 10) == []
+    blank = [("s", 3, 5)]
+    assert source_mix.quotas({"s": (5, 15.0)}, blank, 16) == [(1, 3)]
+
+
+def test_readers_are_as_many_as_ranges(spark):
+    archive = spark.createDataFrame([(f"f{i}", 100 + i) for i in range(5)], "file string, bytes long")
+    assert warc.reader_tasks(5, 500, 16 << 20) == 5 and warc.reader_tasks(0, 0, 16 << 20) == 1
+    assert warc.reader_tasks(10**6, 10**6 * (16 << 20), 16 << 20) == 62_500
+    assert warc.read(archive, 50).rdd.getNumPartitions() == 14
+    assert url_filter.spread(spark.range(20_000)).rdd.getNumPartitions() == 3
+
+
 def test_targets():
     assert source_mix.share_targets([10, 10, 10], [1, 2, 3]) == [5.0, 10.0, 15.0]
     got = source_mix.share_targets([100, 1, 100], [1, 2, 3])
@@ -176,7 +193,7 @@ def test_mix_against_brute_force(spark):
         rows.append((i, " ".join(["w"] * int(r.integers(0, 400))), source))
     rows += [(1000, None, "a"), (1001, " \t\n", "a"), (1002, "a b　c", "a"), (1003, "q " * 50000, "b"), rows[5], rows[5]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
-    first, again = (source_mix.mix(d, shard_words=5000).collect() for d in (df, df.repartition(7)))
+    first, again = (source_mix.mix(d, shard_words=5000, shard_rows=40).collect() for d in (df, df.repartition(7)))
     assert Counter(map(tuple, first)) == Counter(map(tuple, again)) and len(first) == len(rows)
     size_of = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     text = {i: t for i, t, _ in rows}
