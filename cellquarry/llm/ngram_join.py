@@ -137,7 +137,7 @@ def choose_prefix(kinds: list[dict[int, int]], depth: int, target: float) -> tup
 
 
 #: Shared shingles that the audit counts at once.
-COUNTED_AT_ONCE = 1_000_000
+COUNTED_AT_ONCE = 250_000
 
 
 def audit_links(sample: Sample, flat: np.ndarray, offset: np.ndarray, labels: np.ndarray, threshold: float, depth: int) -> list[list[int]]:

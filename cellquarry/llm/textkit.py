@@ -20,7 +20,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Characters handled at once; bounds the temporary arrays of a Python worker.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
