@@ -47,3 +47,20 @@ def covered_years(years: Column) -> Column:
 def sorted_counts(key: str) -> Column:
     """Aggregate: occurrences by key, in key order, of pre-counted rows (``key``, ``n``)."""
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n"))))
+
+
+def typed_spec(text: Column) -> Column:
+    """A query spec from JSON text: struct(id, tickers, years, broken).
+
+    An id may be a number or digits; years must all be whole numbers and tickers
+    all strings, else the field is null and ``broken`` tells that it was there.
+    """
+    raw = F.from_json(text, "id string, tickers array<string>, years array<string>")
+    number = raw["id"].try_cast("long")
+    years = F.transform(raw["years"], lambda y: y.try_cast("int"))
+    whole = F.forall(years, lambda y: y.isNotNull())
+    listed = lambda name: F.coalesce(F.get_json_object(text, f"$.{name}"), F.lit("null"))
+    plain = ~listed("tickers").rlike(r"^\[(.*,)?\s*-?[0-9.]+\s*(,.*)?\]$")
+    tickers, kept = F.when(plain, raw["tickers"]), F.when(whole, years)
+    broken = (number.isNull() & raw["id"].isNotNull()) | (kept.isNull() & (listed("years") != "null")) | (tickers.isNull() & (listed("tickers") != "null"))
+    return F.struct(number.alias("id"), tickers.alias("tickers"), kept.alias("years"), F.coalesce(broken, F.lit(True)).alias("broken"))

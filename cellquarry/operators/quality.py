@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import covered_years
 from ..functions.numbers import is_close, percentile_or_zero
 from ..functions.units import TARGET_DIMENSION, dimension
-from .ranking import routes, widened_scope
+from .ranking import routes, seeded, widened_scope
 
 MOST_CELLS = 32
 TOKENS_PER_CELL = 22
@@ -176,9 +176,10 @@ def merge_shards(shards: list[DataFrame], key: str = "id") -> DataFrame:
     out = shards[0]
     for part in shards[1:]:
         out = out.unionByName(part)
-    n = F.count("*").over(Window.partitionBy(key))
-    checked = F.when(n == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("repeated: "), F.col(key).cast("string"))).cast(out.schema[key].dataType))
-    return out.withColumn(key, checked).orderBy(key)
+    repeated = out.groupBy(key).count().where("count > 1").first()  # keys alone are counted
+    if repeated is not None:
+        raise ValueError(f"repeated: {repeated[key]}")
+    return out.orderBy(key)
 
 
 def check_fingerprints(prints: list[str], indexes: list[int]) -> None:
@@ -225,7 +226,7 @@ def largest_remainder(counts: DataFrame, size: int, key: str = "stratum", n: str
 
 def stratified_sample(rows: DataFrame, seats: DataFrame, key: str, stratum: str, seed: int) -> DataFrame:
     """Seats of each stratum filled in a seeded hash order, without replacement."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    order = Window.partitionBy(stratum).orderBy(seeded(key, seed), key)
     return rows.join(F.broadcast(seats.select(stratum, "seats")), stratum).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("seats")).drop("_n", "seats")
 
 
@@ -237,7 +238,7 @@ def fan_out(n: Column) -> Column:
 def quota_sample(rows: DataFrame, weights: dict[str, float], count: int, key: str, family: str, seed: int) -> DataFrame:
     """round(count x weight), one at least, of each family."""
     quota = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, max(1, round(count * w)))])
-    order = Window.partitionBy(family).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    order = Window.partitionBy(family).orderBy(seeded(key, seed), key)
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.try_element_at(quota, F.col(family))).drop("_n")
 
 

@@ -155,9 +155,14 @@ def reorder(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return wanted.select(F.posexplode("ids").alias("pos", key)).join(df, key)
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A hash order of a key's text that any engine can repeat."""
+    return F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def distractors(gold: DataFrame, manifest: DataFrame, n: int, seed: int) -> DataFrame:
     """n other tables of each question's gold documents, by a seeded hash order."""
     docs = gold.select("qid", "doc_id").distinct()
     others = manifest.join(docs, "doc_id").select("qid", F.col("table_ref").alias("ref")).join(gold.select("qid", "ref"), ["qid", "ref"], "left_anti")
-    order = Window.partitionBy("qid").orderBy(F.xxhash64("ref", F.lit(seed)), "ref")
+    order = Window.partitionBy("qid").orderBy(seeded("ref", seed), "ref")
     return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

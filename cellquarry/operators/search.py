@@ -125,6 +125,26 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int, digits: int
     return top_ranked(scored, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
 
 
+@dataclass
+class DenseIndex:
+    """Vectors by document, with how many there must be."""
+
+    vectors: DataFrame  # doc, vector
+    documents: int
+
+    def save(self, path: str) -> None:
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.vectors.sparkSession.createDataFrame([(self.documents,)], "documents long").write.mode("overwrite").parquet(f"{path}/totals")
+
+    @classmethod
+    def load(cls, spark, path: str) -> DenseIndex:
+        """Raises where vectors are missing or too many."""
+        vectors, wanted = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/totals").first()["documents"]
+        if (found := vectors.count()) != wanted:
+            raise ValueError(f"{wanted} vectors are expected, {found} found")
+        return cls(vectors, wanted)
+
+
 def encode(docs: DataFrame, done: DataFrame | None, encoder: Callable[[list[str]], list[list[float]]], key: str, text: str, batch: int = 256) -> DataFrame:
     """Vectors of the rows that are not ``done`` yet, long texts first so that batches are even."""
     todo = docs if done is None else docs.join(done.select(key), key, "left_anti")

@@ -600,7 +600,12 @@ def seat_allocation(spark, sf):
     return quality.largest_remainder(read(spark, sf, "part").groupBy(F.col("p_brand").alias("stratum")).agg(F.count("*").alias("n")), 100)
 
 
-@query()
+@query("""
+    WITH c AS (SELECT p_brand AS stratum, count(*) AS n FROM part GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
+    e AS (SELECT stratum, n, 100 * n / t AS exact FROM c, t), f AS (SELECT *, floor(exact) AS fl, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, n DESC, stratum DESC) AS place FROM e),
+    s AS (SELECT stratum, fl + CASE WHEN place <= 100 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS seats FROM f)
+    SELECT p_brand AS stratum, p_partkey FROM part JOIN s ON stratum = p_brand QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey || '/7'), p_partkey) <= any_value(seats) OVER (PARTITION BY p_brand)
+""")
 def stratified_subset(spark, sf):
     """The parts that fill those seats, by seeded hash."""
     p = read(spark, sf, "part").withColumnRenamed("p_brand", "stratum")

@@ -6,7 +6,7 @@ import pytest
 from cellquarry.plans import nodes as n
 from cellquarry.plans.bind import Fact, answer_with_year, bind, check_coverage, plausible, run_batch, snap
 from cellquarry.plans.evaluate import evaluate, to_column
-from cellquarry.plans.interchange import check_text, text_to_column, to_text
+from cellquarry.plans.interchange import check_text, evaluate_text, text_to_column, to_text
 from cellquarry.plans.typing import dimension_of
 from cellquarry.plans.wire import json_schema, parse, root_allowed, to_dict, to_json
 
@@ -132,3 +132,43 @@ def test_batch(spark):
     programs = spark.createDataFrame([(1, ok, "MILLION_VND", 1e6, ["AAA"], [2024]), (2, bad, "VND", 1.0, [], []), (3, ok, "VND", 1.0, ["BBB"], [])], "id long, program string, target_unit string, target_divisor double, tickers array<string>, years array<int>")
     got = {r["id"]: (r["answer"], r["error"]) for r in run_batch(programs, spark.createDataFrame([(i, "df1", "t1") for i in (1, 2, 3)], "id long, variable string, table_ref string"), cells).collect()}
     assert got == {1: (7.0, None), 2: (None, "SHAPE"), 3: (None, "MISSING_TICKERS")}
+
+
+def test_bound_text_and_both_readers_agree(spark):
+    r = random.Random(9)
+    programs = [random_program(r, 2) for _ in range(40)]
+    for p in programs:
+        for bound in (False, True):
+            got, want = evaluate_text(to_text(p, bound), {}), value(p)
+            assert want is None or abs(got - want) < 1e-9, to_text(p, bound)
+    cells = [n.cell(f"df{i}", 0, 1) for i in range(1, 101)]
+    wide = to_text(n.select("median", cells), bound=True)
+    with pytest.raises(n.ProgramError, match="characters"):
+        to_text(n.select("median", cells))
+    frames = {f"df{i}": [{"row_index": 0, "column_index": 1, "base_value": float(i * 37 % 101)}] for i in range(1, 101)}
+    assert len(wide) < 200_000 and evaluate_text(wide, frames) == 50.5
+
+
+FRAME = [("A", 0, 3.0), ("B", 1, None), ("B", 2, 8.5), ("A", 3, 1.0)]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("df1['v'].sum()", 12.5), ("sum(df1['v'])", None), ("df1['v'].mean()", 12.5 / 3), ("df1['v'].fillna(1).mean()", 13.5 / 4), ("df1['v'].median()", 3.0), ("df1['v'].min() + df1['v'].max()", 9.5),
+    ("df1.loc[df1['k'] == 'B', 'v'].sum()", 8.5), ("df1.loc[(df1['k'] == 'B') & (df1['i'] > 1), 'v'].item()", 8.5), ("df1.loc[(df1['i'] == 0) | (df1['i'] == 3), 'v'].iloc[-1]", 1.0), ("df1['v'].iloc[9]", None),
+    ("float(df1.loc[df1['k'] == 'Z', 'v'].sum())", 0.0), ("df1.loc[df1['k'] == 'Z', 'v'].mean()", None), ("len(df1['v'])", 4.0), ("df1['v'].round(0).sum()", 12.0), ("max(df1.loc[df1['i'] > 1, 'v'])", 8.5), ("df1['v'].astype(float).max()", 8.5),
+    ("df1.loc[df1['k'] == 'B', 'v'].item()", None), ("7 % 4 + 2 ** 3", 11.0), ("1 / 0", None), ("(3 if 1 < 2 and not_there else 4)", "refused"), ("df1", "refused"), ("df1['v']", "refused"), ("df2['v'].sum()", "refused"), ("df1['v'].std()", "refused"),
+])
+def test_frame_methods(spark, text, want):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([{"k": k, "i": i, "v": v} for k, i, v in FRAME],)], "rows array<struct<k: string, i: int, v: double>>")
+    frames = {"df1": [{"k": k, "i": i, "v": v} for k, i, v in FRAME]}
+    if want == "refused":
+        with pytest.raises(n.ProgramError):
+            evaluate_text(text, frames)
+        with pytest.raises(n.ProgramError):
+            text_to_column(text, {"df1"}, frames=lambda _: F.col("rows"))
+        return
+    got = df.select(text_to_column(text, {"df1"}, frames=lambda _: F.col("rows")).alias("x")).first()["x"]
+    for found in (got, evaluate_text(text, frames)):
+        assert found is None if want is None else found == pytest.approx(want)

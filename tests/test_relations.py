@@ -126,8 +126,8 @@ def test_runs(spark):
     assert [tuple(r) for r in quality.overlay(base, other, frame([(1, 0), (3, 0)])).collect()] == [(1, 10), (2, 2), (3, 30)]
     with pytest.raises(ValueError):
         quality.overlay(base, other, frame([(1, 0)]))
-    with pytest.raises(Exception, match="repeated"):
-        quality.merge_shards([base, other]).collect()
+    with pytest.raises(ValueError, match="repeated"):
+        quality.merge_shards([base, other])
     with pytest.raises(ValueError):
         quality.check_fingerprints(["a", "b"], [0, 1])
 
@@ -178,3 +178,45 @@ def test_queries_match_sql(spark, name):
     flat = lambda v: round(v, 4) if isinstance(v, float) else v
     want = sorted(tuple(flat(r[names.index(c)]) for c in got.columns) for r in found.fetchall())
     assert sorted(tuple(flat(v) for v in r) for r in got.collect()) == want
+
+
+def test_positions_of_many_rows_with_payload(spark):
+    df = spark.range(120_000).select((F.xxhash64("id") % 1000).alias("k"), F.col("id"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("p")).repartition(7)
+    out = ranking.global_index(df, "k", "id")
+    facts = out.agg(F.count("*"), F.countDistinct("index"), F.min("index"), F.max("index")).first()
+    assert tuple(facts) == (120_000, 120_000, 0, 119_999)
+    pairs = out.select("index", F.struct("k", "id").alias("s")).orderBy("index").limit(500).collect()
+    assert [tuple(x["s"]) for x in pairs] == sorted(tuple(x["s"]) for x in pairs)
+    parts = [ranking.shard(df.select("id"), "id", 3, i).count() for i in range(3)]
+    assert parts == [40_000] * 3 and ranking.limited_shard(df.select("id"), "id", 10, 3, 0).count() == 4
+    with pytest.raises(ValueError):
+        ranking.limited_shard(df, "id", 0, 3, 0)
+
+
+def test_dense_index_counts_its_vectors(spark, tmp_path):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc int, vector array<double>")
+    search.DenseIndex(v, 2).save(f"file://{tmp_path}/good")
+    assert search.DenseIndex.load(spark, f"file://{tmp_path}/good").documents == 2
+    search.DenseIndex(v, 3).save(f"file://{tmp_path}/bad")
+    with pytest.raises(ValueError, match="expected"):
+        search.DenseIndex.load(spark, f"file://{tmp_path}/bad")
+
+
+def test_spans_reach_as_far_as_the_table():
+    wide = tables.to_matrix("<table><tr><td colspan=1500>a</td></tr><tr><td rowspan=9>b</td><td>c</td></tr><tr><td>d</td></tr></table>")
+    assert len(wide[0]) == 1500 and wide[0][1499] == "a" and [r[:2] for r in wide[1:]] == [["b", "c"], ["b", "d"]]
+
+
+def test_shared_folder_is_needed_off_one_machine():
+    from types import SimpleNamespace
+
+    from cellquarry.sources.shared import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(far)
+
+
+@pytest.mark.parametrize("name", ["text_idioms", "array_and_json_idioms", "company_aliases", "company_mentions", "asked_companies", "frame_programs", "finalized_predictions", "stratified_subset", "line_positions"])
+def test_more_queries_match_sql(spark, name):
+    test_queries_match_sql(spark, name)
