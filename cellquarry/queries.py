@@ -18,7 +18,7 @@ from .plans import nodes
 from .plans.bind import run_batch
 from .plans.evaluate import to_column
 from .plans.interchange import text_to_column, to_text
-from .sources.shared import new_path
+from .sources.shared import new_path, stored
 from .streaming.ingest import KeyedTable, run_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,9 +422,9 @@ def program_batch(spark, sf):
     """A different program for every order, bound to its parsed cells and run in one plan.
 
     The first and last row are added; orders of one row ask for the wrong unit
-    and are refused.
+    and are refused.  The cells are read three times, so they are written once.
     """
-    c = tables.to_cells(order_tables(spark, sf))
+    c = stored(tables.to_cells(order_tables(spark, sf)), "cells")
     sizes = c.groupBy("table_ref").agg(F.max("row_index").alias("last"))
     cell = lambda row: F.concat(F.lit('{"kind":"cell","variable":"df1","row_index":'), row.cast("string"), F.lit(',"column_index":1}'))
     program = F.concat(F.lit('{"kind":"binary","operator":"+","left":'), cell(F.lit(0)), F.lit(',"right":'), cell(F.col("last")), F.lit("}"))
