@@ -11,11 +11,13 @@ is the sum of its words' conditional log-probabilities.
 Words are counted over all documents, and every word has the probability of its
 own count.  The commonest words' are looked up in a bounded vocabulary; the
 others of each document are joined with the stored table of counts, which also
-tells how many of its words occur nowhere else (``n_once``).  The network starts
-from a bounded sample and then descends once along the gradient over all windows
-of all documents, a sum that does not depend on how rows are dealt to tasks.
-Only that sum, as large as the network, and the bounded vocabulary reach the
-driver.
+tells how many of its words occur nowhere else (``n_once``).  The network is
+learned from all documents: its biases start from the counts of all words, and
+documents are dealt by their texts to `BLOCKS` blocks, along whose gradients over
+all windows it descends one after the other.  Such a gradient is a sum that does
+not depend on how rows are dealt to tasks.  Only these sums, as large as the
+network, and the bounded vocabulary reach the driver.  Texts become leaves once,
+in a stored table that the descent and the scoring read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .cluster import annotate, restored, stored
+from .cluster import annotate, drop_stored, new_path, restored, stored
 from .textkit import U64, Words, word_batches
 
 #: The tree: groups of leaves; the first groups hold the commonest words, the others endings.
@@ -46,18 +49,18 @@ VOCABULARY = 32_768
 HIDDEN = 24
 REACH = 2
 OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
-#: Windows of one update of the start, and of one product over all windows.
+#: Windows of one update of `Trainer.learn`, and its rate.
 UPDATE = 2048
-BATCH = 32_768
 RATE = 0.01
-#: The step along the gradient over all windows, in units of the start's mean steps.
-STEP = 0.05
-#: Texts of the sample on which the network starts.
-WARM_ROWS = 600
-WARM_PASSES = 3
-#: Characters whose words are counted, or whose windows are walked, at once: more of them share words and products.
+#: Windows of one product.
+BATCH = 8192
+#: Blocks of documents, an update for each, and the rate of the first; it falls evenly to none.
+BLOCKS = 16
+BLOCK_RATE = 0.15
+#: Characters whose words are found, and words whose windows are walked, at once (or one longer text).
 CHARACTERS = 1_000_000
-#: Numbers in one row of a task's gradient, and the partial sums of the first round of its aggregation.
+WORDS = 131_072
+#: Numbers in one row of a task's gradient; tasks beyond so many are first added to so many partial sums.
 CHUNK = 16_384
 PARTIAL_SUMS = 64
 
@@ -70,6 +73,7 @@ class Vocabulary:
     cls: np.ndarray
     log_p: np.ndarray
     once_log_p: np.ndarray  # per ending, of a word counted once; a word counted n times adds log n
+    leaf_n: np.ndarray  # words of each leaf, over all documents
 
 
 def endings(words: Words) -> np.ndarray:
@@ -92,14 +96,14 @@ def classes(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarra
 def top_only(vocabulary: Vocabulary) -> Vocabulary:
     """The words that are leaves of their own; they settle the leaf of every word."""
     top = vocabulary.cls < TOP
-    return Vocabulary(vocabulary.word[top], vocabulary.cls[top], vocabulary.log_p[top], vocabulary.once_log_p)
+    return Vocabulary(vocabulary.word[top], vocabulary.cls[top], vocabulary.log_p[top], vocabulary.once_log_p, vocabulary.leaf_n)
 
 
 def windows(cls: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Leaves at each of `OFFSETS` around every word, inside its text."""
     text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
     low, high, at = offset[:-1][text], offset[1:][text], np.arange(len(cls))
-    out = np.full((len(cls), len(OFFSETS)), BEYOND, np.int64)
+    out = np.full((len(cls), len(OFFSETS)), BEYOND, cls.dtype)
     for k, o in enumerate(OFFSETS):
         inside = (at + o >= low) & (at + o < high)
         out[inside, k] = cls[at[inside] + o]
@@ -199,11 +203,15 @@ class Trainer:
         for a in range(0, len(y), UPDATE):
             grad = np.zeros(SIZE, np.float32)
             walk(self.flat, x[a : a + UPDATE], y[a : a + UPDATE], grad)
-            grad /= len(y[a : a + UPDATE])
-            self.step += 1
-            self.m = 0.9 * self.m + 0.1 * grad
-            self.v = 0.99 * self.v + 0.01 * grad**2
-            self.flat -= RATE * (self.m / (1 - 0.9**self.step)) / self.scale()
+            self.update(grad / len(y[a : a + UPDATE]), RATE)
+
+    def update(self, grad: np.ndarray, rate: float) -> None:
+        """A step along the gradient of a mean."""
+        grad = grad.astype(np.float32)
+        self.step += 1
+        self.m = np.float32(0.9) * self.m + np.float32(0.1) * grad
+        self.v = np.float32(0.99) * self.v + np.float32(0.01) * grad**2
+        self.flat -= (rate * (self.m / (1 - 0.9**self.step)) / self.scale()).astype(np.float32)
 
     def scale(self) -> np.ndarray:
         """The size of a usual gradient of each weight."""
@@ -238,83 +246,133 @@ def vocabulary_of(counts: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     once = -np.log(np.maximum(mass, 1))
     cls = np.where(top, np.arange(len(word)), cls)
     order = np.argsort(word)
-    return Vocabulary(word[order], cls[order], log_p[order], once)
+    return Vocabulary(word[order], cls[order], log_p[order], once, np.concatenate([np.pad(n[top], (0, TOP - top.sum())), mass]))
 
 
-def _windows_of(texts: list[str | None], top: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for words in word_batches(texts, at_once=CHARACTERS):
-        cls = classes(words, top)[0]
-        yield windows(cls, words.offset), cls
+def encoded(docs: DataFrame, columns: list[str], vocabulary: Vocabulary) -> DataFrame:
+    """`carried` columns of ``docs`` and what its texts are to the network.
 
+    ``leaves`` are those of a text's words, ``within`` is the sum of the words'
+    log-probabilities in their leaves, ``others`` are the hashes of words outside
+    the vocabulary, each as if counted once, and ``block`` is the block of the text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def judge(texts: list[str | None], blocks: list[int]) -> Iterator[tuple]:
+        for words in word_batches(texts, at_once=CHARACTERS):
+            y, log_p, h, known = classes(words, shared.value)
+            before = np.concatenate([[0], np.cumsum(~known)])[words.offset]
+            others = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(h[~known].view(np.int64)))
+            leaves = pa.ListArray.from_arrays(pa.array(words.offset, pa.int32()), pa.array(y.astype(np.int16)))
+            yield words.first, np.diff(words.offset), np.bincount(words.text_of_word(), log_p, words.n_texts), others, leaves, blocks[words.first : words.first + words.n_texts]
+
+    text = F.col("text").cast("string")
+    block = F.pmod(F.xxhash64(text, F.lit(37)), F.lit(BLOCKS)).cast("int")
+    return annotate(docs, columns, [text, block], "n_words long, within double, others array<long>, leaves array<short>, block int", judge)
 
-def start(docs: DataFrame, top: Vocabulary) -> Trainer:
-    """The network after passes over the texts of the lowest seeded hashes."""
-    lowest = docs.where("text is not null").groupBy(F.xxhash64("text").alias("h")).count().orderBy(F.xxhash64("h", F.lit(37)), "h").limit(WARM_ROWS).select("h")
-    sample = docs.join(F.broadcast(lowest), F.xxhash64("text") == F.col("h")).select("h", "text").dropDuplicates(["h"]).orderBy("h")
-    trainer, texts = Trainer(fresh_weights()), [r.text for r in sample.collect()]
-    for _ in range(WARM_PASSES):
-        for x, y in _windows_of(texts, top):
-            trainer.learn(x, y)
-    return trainer
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """`encoded` rows in a stored table with a folder for each block."""
+    path = new_path(rows.sparkSession, "leaves")
+    rows.write.partitionBy("block").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _windows_of(leaves: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of whole texts at a time: the first, the words' offsets, windows and leaves."""
+    offset, every = leaves.offsets.to_numpy().astype(np.int64), leaves.flatten().to_numpy()
+    offset, first = offset - offset[0], 0
+    while first < len(leaves):
+        last = max(first + 1, int(np.searchsorted(offset, offset[first] + WORDS, "right")) - 1)
+        y, own = every[offset[first] : offset[last]], offset[first : last + 1] - offset[first]
+        yield first, own, windows(y, own), y
+        first = last
 
 
 def gradient(docs: DataFrame, flat: np.ndarray, top: Vocabulary) -> tuple[np.ndarray, int]:
-    """The gradient of the cross-entropy over all windows of all documents, and their number.
+    """The gradient of the cross-entropy over all windows of all documents (texts or `encoded` rows), and their number.
 
-    Each task sums its windows; the sums are added in two rounds, so that no row
-    has more to add than some tasks, however many there are.
+    Each task sums its windows; the sums of many tasks are added in two rounds, so
+    that no row has more to add than some tasks, however many there are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((flat, top))
+    rows = (docs if "leaves" in docs.columns else encoded(docs, [], top)).select("leaves")
+    shared = docs.sparkSession.sparkContext.broadcast(flat)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (weights, top), total, n = shared.value, np.zeros(SIZE), 0
-        for pdf in batches:
-            for x, y in _windows_of(pdf["text"].tolist(), top):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, total, n = shared.value, np.zeros(SIZE), 0
+        for batch in batches:
+            for _, _, x, y in _windows_of(batch.column(0)):
                 for a in range(0, len(y), BATCH):
                     own = np.zeros(SIZE, np.float32)
                     walk(weights, x[a : a + BATCH], y[a : a + BATCH], own)
                     total += own
                 n += len(y)
         if n:
-            parts = np.split(total, range(CHUNK, SIZE, CHUNK))
-            yield pd.DataFrame({"part": TaskContext.get().partitionId() % PARTIAL_SUMS, "chunk": np.arange(len(parts)), "total": parts, "n": n})
+            cuts = np.append(np.arange(0, SIZE, CHUNK), SIZE)
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array(np.full(len(cuts) - 1, TaskContext.get().partitionId() % PARTIAL_SUMS, np.int32)), "chunk": pa.array(np.arange(len(cuts) - 1, dtype=np.int32)),
+                "total": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(total.astype(np.float32))), "n": pa.array(np.full(len(cuts) - 1, n)),
+            })
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, tuple[np.ndarray, int]] = {}
         for pdf in batches:
             for part, chunk, total, n in zip(pdf["part"], pdf["chunk"], pdf["total"], pdf["n"], strict=True):
                 old = sums.get((part, chunk), (0.0, 0))
-                sums[part, chunk] = (old[0] + np.asarray(total), old[1] + n)
+                sums[part, chunk] = (old[0] + np.asarray(total, np.float64), old[1] + n)
         if sums:
             yield pd.DataFrame([(*key, total, n) for key, (total, n) in sums.items()], columns=["part", "chunk", "total", "n"])
 
-    kinds = "part int, chunk int, total array<double>, n long"
-    rounds = docs.select("text").mapInPandas(run, kinds).repartition(PARTIAL_SUMS, "part").mapInPandas(added, kinds)
-    rows = rounds.withColumn("part", F.lit(0)).repartition(8, "chunk").mapInPandas(added, kinds).orderBy("chunk").collect()
-    if not rows:
+    kinds = "part int, chunk int, total array<float>, n long"
+    sums = rows.mapInArrow(run, kinds)
+    if rows.rdd.getNumPartitions() > PARTIAL_SUMS:
+        sums = sums.repartition(PARTIAL_SUMS, "part").mapInPandas(added, kinds)
+    found = sums.withColumn("part", F.lit(0)).repartition(4, "chunk").mapInPandas(added, kinds).orderBy("chunk").collect()
+    shared.destroy()
+    if not found:
         return np.zeros(SIZE), 0
-    return np.concatenate([np.asarray(r["total"]) for r in rows]), rows[0]["n"]
+    return np.concatenate([np.asarray(r["total"]) for r in found]), found[0]["n"]
+
+
+def start(docs: DataFrame, top: Vocabulary) -> Trainer:
+    """The network after an update for each block of all documents, texts or rows `in_blocks`."""
+    rows = docs if "leaves" in docs.columns else in_blocks(encoded(docs, [], top))
+    flat, n = fresh_weights(), top.leaf_n.reshape(GROUPS, LEAVES) + 1
+    w = split(flat)
+    w["group_bias"][:], w["leaf_bias"][:] = np.log(n.sum(1) / n.sum()), np.log(n / n.sum(1, keepdims=True))
+    trainer = Trainer(flat)
+    for k in range(BLOCKS):
+        total, n = gradient(rows.where(F.col("block") == k), trainer.flat, top)
+        if n:
+            trainer.update(total / n, BLOCK_RATE * (1 - k / BLOCKS))
+    if rows is not docs:
+        drop_stored(rows)
+    return trainer
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The network: a start on a bounded sample, then a step along the mean gradient over all windows."""
-    top = top_only(vocabulary)
-    trainer = start(docs, top)
-    total, n = gradient(docs, trainer.flat, top)
-    step = STEP * (total / max(n, 1)) / trainer.scale()
-    return np.round(trainer.flat - step, 5).astype(np.float32)
-
-
-def score_texts(texts: list[str | None], flat: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """Sub-batches: first text, numbers of words, sums of log-probabilities and the hashes of words outside the vocabulary, each as if counted once."""
-    for words in word_batches(texts, at_once=CHARACTERS):
-        y, log_p, h, known = classes(words, vocabulary)
-        x, logs = windows(y, words.offset), np.empty(len(y))
-        for a in range(0, len(y), BATCH):
-            logs[a : a + BATCH] = walk(flat, x[a : a + BATCH], y[a : a + BATCH])
-        before = np.concatenate([[0], np.cumsum(~known)])[words.offset]
-        others = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(h[~known].view(np.int64)))
-        yield words.first, np.diff(words.offset), np.bincount(words.text_of_word(), logs + log_p, words.n_texts), others
+    """The network learned from all documents, texts or rows `in_blocks`."""
+    return np.round(start(docs, top_only(vocabulary)).flat, 5).astype(np.float32)
+
+
+def score_rows(rows: DataFrame, flat: np.ndarray) -> DataFrame:
+    """`encoded` rows with ``base``, the sum of their words' log-probabilities as if those outside the vocabulary were counted once."""
+    kept = [f for f in rows.schema if f.name not in ("leaves", "within", "block")]
+    shared = rows.sparkSession.sparkContext.broadcast(flat)
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base = batch.column("within").to_numpy().copy()
+            for first, offset, x, y in _windows_of(batch.column("leaves")):
+                logs = np.empty(len(y))
+                for a in range(0, len(y), BATCH):
+                    logs[a : a + BATCH] = walk(shared.value, x[a : a + BATCH], y[a : a + BATCH])
+                text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
+                base[first : first + len(offset) - 1] += np.bincount(text, logs, len(offset) - 1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(base)], names=[*names, "base"])
+
+    return rows.drop("block").mapInArrow(run, StructType([*kept, StructField("base", DoubleType())]))
 
 
 def pseudo_likelihood(docs: DataFrame, columns: list[str], size: int = VOCABULARY) -> DataFrame:
@@ -331,13 +389,10 @@ def pseudo_likelihood(docs: DataFrame, columns: list[str], size: int = VOCABULAR
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = stored(count_words(texts), "words")
     vocabulary = vocabulary_of(counts, size)
-    shared = docs.sparkSession.sparkContext.broadcast((train(texts, vocabulary), vocabulary))
-
-    def judge(texts: list[str | None]) -> Iterator[tuple]:
-        return score_texts(texts, *shared.value)
-
-    scored = annotate(docs, columns, [F.col("text").cast("string")], "n_words long, base double, others array<long>", judge)
+    rows = in_blocks(encoded(docs, columns, vocabulary))
+    scored = score_rows(rows, train(rows, vocabulary))
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    drop_stored(rows)
     # No word outside the vocabulary is in more than a small share of the rows, so neither side has a hot key.
     # Words counted once add log 1 = 0.  The sum is in whole 1e-9, so its order does not matter.
     often = counts.where("n > 1").select("word", F.round(F.log("n") * 1e9).cast("long").alias("log_n"))

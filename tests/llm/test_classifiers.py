@@ -184,6 +184,40 @@ def test_masked_lm_does_not_depend_on_tasks(spark):
     assert n == m == 7200 and np.allclose(one, other, atol=1e-2) and np.abs(one).max() > 1
 
 
+def test_masked_lm_learns_from_all_documents(spark):
+    docs = table(spark, sentences(EN, 400, 11, 12) + sentences(FR, 400, 12, 12))  # beyond 600, the former sample
+    vocabulary = masked_lm.top_only(masked_lm.vocabulary_of(masked_lm.count_words(docs)))
+    got = masked_lm.start(docs.select("text").repartition(3), vocabulary).flat
+    texts = {}
+    for row in docs.select("text", F.pmod(F.xxhash64("text", F.lit(37)), F.lit(masked_lm.BLOCKS)).alias("block")).collect():
+        texts.setdefault(row["block"], []).append(row["text"])
+    flat, m, v, step, seen = masked_lm.fresh_weights().astype(np.float64), 0, 0, 0, 0
+    leaves = [c for own in texts.values() for words in textkit.word_batches(own) for c in masked_lm.classes(words, vocabulary)[0]]
+    n = np.bincount(leaves, minlength=masked_lm.CLASSES).reshape(masked_lm.GROUPS, masked_lm.LEAVES) + 1
+    w = masked_lm.split(flat)
+    w["group_bias"][:], w["leaf_bias"][:] = np.log(n.sum(1) / n.sum()), np.log(n / n.sum(1)[:, None])
+    for block in sorted(texts):
+        grad, size = np.zeros(masked_lm.SIZE), 0
+        for words in textkit.word_batches(texts[block]):
+            y = masked_lm.classes(words, vocabulary)[0]
+            masked_lm.walk(flat, masked_lm.windows(y, words.offset), y, grad)
+            size += len(y)
+        step, seen = step + 1, seen + size
+        m, v = 0.9 * m + 0.1 * grad / size, 0.99 * v + 0.01 * (grad / size) ** 2
+        flat -= masked_lm.BLOCK_RATE * (1 - block / masked_lm.BLOCKS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    assert seen == 9600 and len(texts) == masked_lm.BLOCKS
+    assert np.allclose(got, flat, atol=1e-3) and np.abs(got - masked_lm.fresh_weights()).max() > 0.1
+
+
+def test_masked_lm_start_is_no_sample(spark):
+    # The former start took these 600 texts, so it gave the same network with and without the others.
+    docs = table(spark, sentences(EN, 400, 11, 12) + sentences(FR, 400, 12, 12))
+    vocabulary = masked_lm.top_only(masked_lm.vocabulary_of(masked_lm.count_words(docs)))
+    sample = docs.orderBy(F.xxhash64(F.xxhash64("text"), F.lit(37))).limit(600)
+    whole, part = (masked_lm.start(x.select("text"), vocabulary).flat for x in (docs, sample))
+    assert np.abs(whole - part).max() > 1e-2
+
+
 def test_masked_lm_odd_rows(spark):
     texts = ["a b c d e f g h " * 20] * 30 + sentences(EN, 30, 8)
     docs = table(spark, [*texts, *ODD, "h c a f b e g d " * 20]).withColumns({"n_words": F.lit(1), "Base": F.lit("x"), "row": F.lit(2), "others": F.lit("y")})
