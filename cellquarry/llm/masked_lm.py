@@ -52,8 +52,8 @@ OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 #: Windows of one update of `Trainer.learn`, and its rate.
 UPDATE = 2048
 RATE = 0.01
-#: Windows of one product.
-BATCH = 8192
+#: Windows of one product, whose scores stay in the processor's cache.
+BATCH = 1024
 #: Blocks of documents, an update for each, and the rate of the first; it falls evenly to none.
 BLOCKS = 16
 BLOCK_RATE = 0.15
@@ -100,14 +100,15 @@ def top_only(vocabulary: Vocabulary) -> Vocabulary:
 
 
 def windows(cls: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Leaves at each of `OFFSETS` around every word, inside its text."""
-    text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
-    low, high, at = offset[:-1][text], offset[1:][text], np.arange(len(cls))
-    out = np.full((len(cls), len(OFFSETS)), BEYOND, cls.dtype)
-    for k, o in enumerate(OFFSETS):
-        inside = (at + o >= low) & (at + o < high)
-        out[inside, k] = cls[at[inside] + o]
-    return out
+    """Leaves at each of `OFFSETS` around every word, inside its text; those of one offset lie side by side."""
+    low, high, n = offset[:-1], offset[1:], len(cls)
+    out = np.full((len(OFFSETS), n), BEYOND, cls.dtype)
+    for row, o in zip(out, OFFSETS, strict=True):
+        row[max(-o, 0) : n - max(o, 0)] = cls[max(o, 0) : n - max(-o, 0)]
+        for k in range(abs(o)):  # what the shift took from the next text
+            edge = low + k if o < 0 else high - 1 - k
+            row[edge[(edge >= low) & (edge < high)]] = BEYOND
+    return out.T
 
 
 SHAPES = {
@@ -130,66 +131,87 @@ def fresh_weights(seed: int = 13) -> np.ndarray:
     return (np.random.default_rng(seed).normal(size=SIZE) * 0.1).astype(np.float32)
 
 
-def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of scores: their exponentials (in place), each row's sum of them, and its logarithm for the scores themselves.
+class Network:
+    """Weights as the walk multiplies them.
 
-    Rows are shifted by their greatest score only where some score is too large
-    to be raised in single precision.
+    Hidden units have one more that is always 1, so biases are rows of the
+    weights.  A group's outputs are those of all groups and then its leaves.
     """
-    shift = z.max(1) if max(z.max(initial=0), -z.min(initial=0)) > 60 else None
-    if shift is not None:
-        z -= shift[:, None]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    return z, total, np.log(total) + (0 if shift is None else shift)
-
 
-def walk(flat: np.ndarray, x: np.ndarray, y: np.ndarray, grad: np.ndarray | None = None) -> np.ndarray:
+    def __init__(self, flat: np.ndarray) -> None:
+        w = split(flat)
+        self.inputs = [np.pad(table, ((0, 0), (0, 1))) for table in w["embed"]]
+        self.inputs[0][:, :HIDDEN] += w["bias"]
+        self.inputs[0][:, HIDDEN] = 40  # its hyperbolic tangent is 1
+        groups = np.vstack([w["group"], w["group_bias"]])
+        self.outputs = [np.hstack([groups, np.vstack([leaf, bias])]) for leaf, bias in zip(w["leaf"], w["leaf_bias"], strict=True)]
+        #: No score is beyond the sum of its weights' sizes.
+        self.small = all(np.abs(out).sum(0).max() <= 60 for out in self.outputs)
+
+    def exponentials(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of scores (group or leaf, output, window): in place their exponentials; the sums over outputs and the sums' logarithms for the scores themselves.
+
+        Scores are shifted by the greatest only where some score is too large to
+        be raised in single precision.
+        """
+        shift = z.max(1) if not self.small and max(z.max(), -z.min()) > 60 else None
+        if shift is not None:
+            z -= shift[:, None]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        return total, np.log(total) + (0 if shift is None else shift)
+
+
+def walk(network: Network | np.ndarray, x: np.ndarray, y: np.ndarray, grad: np.ndarray | None = None) -> np.ndarray:
     """Log-probability of leaf ``y`` for each window ``x``; adds the gradient of its negative sum to ``grad``."""
-    w, out = split(flat), np.empty(len(y))
-    g = split(grad) if grad is not None else None
-    order = np.argsort((y // LEAVES).astype(np.uint16), kind="stable")  # one product for each group
-    x, y = x[order], y[order]
-    group, leaf, n = y // LEAVES, y % LEAVES, len(y)
-    hidden = w["embed"][0][x[:, 0]] + w["bias"]
-    for k in range(1, len(OFFSETS)):
-        hidden += w["embed"][k][x[:, k]]
-    np.tanh(hidden, out=hidden)
-    every = np.arange(n)
-
-    def output(weights: np.ndarray, bias: np.ndarray, own: np.ndarray, at: np.ndarray, chosen: np.ndarray, g_weights, g_bias) -> tuple[np.ndarray, np.ndarray | None]:
-        z = own @ weights
-        z += bias
-        mine = z[at, chosen]
-        p, total, log_total = _exponentials(z)
-        if g is None:
-            return mine - log_total, None
-        p[at, chosen] -= total  # the gradient by the scores, times the total
-        scale = 1 / total
-        g_weights += (own * scale[:, None]).T @ p
-        g_bias += scale @ p
-        return mine - log_total, (p @ weights.T) * scale[:, None]
-
-    parts = (lambda k: (g["leaf"][k], g["leaf_bias"][k])) if g is not None else (lambda k: (None, None))
-    logs, dh = output(w["group"], w["group_bias"], hidden, every, group, *((g["group"], g["group_bias"]) if g is not None else (None, None)))
-    logs = logs.astype(np.float64)
+    net = network if isinstance(network, Network) else Network(network)
+    g, n = split(grad) if grad is not None else None, len(y)
+    order = np.argsort((y // LEAVES).astype(np.uint16), kind="stable")  # products of one group each
+    y, near = y[order].astype(np.intp), [x[:, k].take(order).astype(np.intp) for k in range(len(OFFSETS))]
+    group, leaf = np.divmod(y, LEAVES)
+    logs, every, dtype = np.empty(n), np.arange(min(n, BATCH)), net.outputs[0].dtype
+    scores, dh = np.empty((GROUPS + LEAVES) * len(every), dtype), np.empty((HIDDEN, n), dtype) if g is not None else None
     cuts = np.searchsorted(group, np.arange(GROUPS + 1))
     for k in np.flatnonzero(np.diff(cuts)):
-        s = slice(cuts[k], cuts[k + 1])
-        more, back = output(w["leaf"][k], w["leaf_bias"][k], hidden[s], every[: cuts[k + 1] - cuts[k]], leaf[s], *parts(k))
-        logs[s] += more
+        out = net.outputs[k]
+        across, total_g = np.ascontiguousarray(out.T), 0.0
+        for a in range(cuts[k], cuts[k + 1], BATCH):
+            s = slice(a, min(a + BATCH, cuts[k + 1]))
+            m = s.stop - a
+            hidden = net.inputs[0].take(near[0][s], axis=0, mode="clip")
+            for table, own in zip(net.inputs[1:], near[1:], strict=True):
+                hidden += table.take(own[s], axis=0, mode="clip")
+            hidden = np.tanh(hidden.T, order="C")
+            cells, at = scores[: len(across) * m], (GROUPS + leaf[s]) * m + every[:m]
+            z = np.matmul(across, hidden, out=cells.reshape(-1, m))  # (output, window): sums and scales run along the windows
+            mine = z[k] + cells.take(at)
+            both = z.reshape(2, -1, m)
+            total, log_total = net.exponentials(both)
+            logs[s] = mine - log_total.sum(0)
+            if g is None:
+                continue
+            both *= 1 / total[:, None]
+            z[k] -= 1
+            cells[at] -= 1
+            total_g = total_g + z @ hidden.T
+            dh[:, s] = out[:HIDDEN] @ z
+            hidden = hidden[:HIDDEN]
+            dh[:, s] *= 1 - hidden * hidden
         if g is not None:
-            dh[s] += back
+            total_g = total_g.T
+            g["group"] += total_g[:HIDDEN, :GROUPS]
+            g["group_bias"] += total_g[HIDDEN, :GROUPS]
+            g["leaf"][k] += total_g[:HIDDEN, GROUPS:]
+            g["leaf_bias"][k] += total_g[HIDDEN, GROUPS:]
     if g is not None and n:
-        dh *= 1 - hidden**2
-        g["bias"] += dh.sum(0)
-        for k in range(len(OFFSETS)):  # rows of one leaf side by side
-            at = np.argsort(x[:, k].astype(np.uint16), kind="stable")
-            own = x[at, k]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            g["embed"][k][own[first]] += np.add.reduceat(dh[at], first, axis=0)
-    out[order] = logs
-    return out
+        for unit, back in enumerate(dh):
+            back = back.astype(np.float64)
+            g["bias"][unit] += back.sum()
+            for table, own in zip(g["embed"], near, strict=True):
+                table[:, unit] += np.bincount(own, back, CLASSES + 1)
+    found = np.empty(n)
+    found[order] = logs
+    return found
 
 
 class Trainer:
@@ -299,13 +321,11 @@ def gradient(docs: DataFrame, flat: np.ndarray, top: Vocabulary) -> tuple[np.nda
     shared = docs.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, total, n = shared.value, np.zeros(SIZE), 0
+        network, total, n = Network(shared.value), np.zeros(SIZE), 0
         for batch in batches:
             for _, _, x, y in _windows_of(batch.column(0)):
-                for a in range(0, len(y), BATCH):
-                    own = np.zeros(SIZE, np.float32)
-                    walk(weights, x[a : a + BATCH], y[a : a + BATCH], own)
-                    total += own
+                for a in range(0, len(y), WORDS):
+                    walk(network, x[a : a + WORDS], y[a : a + WORDS], total)
                 n += len(y)
         if n:
             cuts = np.append(np.arange(0, SIZE, CHUNK), SIZE)
@@ -362,12 +382,13 @@ def score_rows(rows: DataFrame, flat: np.ndarray) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(shared.value)
         for batch in batches:
             base = batch.column("within").to_numpy().copy()
             for first, offset, x, y in _windows_of(batch.column("leaves")):
                 logs = np.empty(len(y))
-                for a in range(0, len(y), BATCH):
-                    logs[a : a + BATCH] = walk(shared.value, x[a : a + BATCH], y[a : a + BATCH])
+                for a in range(0, len(y), WORDS):
+                    logs[a : a + WORDS] = walk(network, x[a : a + WORDS], y[a : a + WORDS])
                 text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
                 base[first : first + len(offset) - 1] += np.bincount(text, logs, len(offset) - 1)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(base)], names=[*names, "base"])

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -231,6 +232,36 @@ def test_masked_lm_odd_rows(spark):
     assert masked_lm.pseudo_likelihood(docs.where("text is null"), ["doc_id"]).first()["per_word"] is None
 
 
+def test_masked_lm_walk_holds_few_scores_at_once():
+    # A block of windows at a time, so that scores stay in the cache; all scores of these windows are 67 MB.
+    rng, n = np.random.default_rng(5), 131_072
+    y = (masked_lm.CLASSES * rng.random(n) ** 3).astype(np.int16)  # some leaves are common
+    x = masked_lm.windows(y, np.arange(0, n + 1, 256))
+    flat, grad = masked_lm.fresh_weights(), np.zeros(masked_lm.SIZE)
+    tracemalloc.start()
+    logs = masked_lm.walk(flat, x, y, grad)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and np.isfinite(logs).all() and np.abs(grad).max() > 1
+
+
+def test_masked_lm_windows_stay_inside_their_texts():
+    cls, offset = np.arange(12, dtype=np.int16), np.array([0, 0, 1, 3, 3, 12, 12])
+    want = [[cls[i + o] if a <= i + o < b else masked_lm.BEYOND for o in masked_lm.OFFSETS] for a, b in zip(offset, offset[1:], strict=False) for i in range(a, b)]
+    assert np.array_equal(masked_lm.windows(cls, offset), want)
+    assert masked_lm.windows(cls[:0], offset[:2]).shape == (0, len(masked_lm.OFFSETS)) and len(masked_lm.windows(cls[:1], np.array([0, 1]))) == 1
+
+
+def test_masked_lm_walk_takes_large_scores():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, masked_lm.CLASSES + 1, (300, len(masked_lm.OFFSETS))), rng.integers(0, masked_lm.CLASSES, 300)
+    flat = masked_lm.fresh_weights() * 200
+    got, want = np.zeros(masked_lm.SIZE), np.zeros(masked_lm.SIZE)
+    logs = masked_lm.walk(flat, x, y, got)
+    plain = masked_lm.walk(flat.astype(np.float64), x, y, want)
+    assert logs.min() < -100 and np.allclose(logs, plain, rtol=1e-4, atol=1e-2) and np.isfinite(got).all() and np.allclose(got, want, rtol=1e-2, atol=5e-2 * np.abs(want).max())
+
+
 def test_masked_lm_tells_repeated_documents_apart(spark):
     # Words are made of many syllables, so every document has some that no other has, unless it is there twice.
     r = np.random.default_rng(13)
