@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,20 +161,41 @@ def answer_with_year(node: Node, target: str, years: dict[str, int]) -> Node:
     return replace(select(node["op"], named), attrs=node.attrs, groups=groups)
 
 
+#: Programs of up to so many characters are kept once read.
+LONGEST_KEPT = 4_000
+
+
+def _read(text: str, lenient: bool) -> Node:
+    return (_known if isinstance(text, str) and len(text) <= LONGEST_KEPT else parse)(text, lenient)
+
+
+_known = lru_cache(maxsize=1024)(parse)
+
+
 def references(programs: DataFrame) -> DataFrame:
     """(id, variable, row_index) of every cell in ``program`` (JSON); whole rows, as repairs look along them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["id"], pdf["program"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names, rows = [], [], []
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("program").to_pylist(), strict=True):
                 try:
-                    rows += sorted({(key, n["variable"], n["row"]) for n in parse(text, lenient=True).cells()})
+                    own = sorted({(n["variable"], n["row"]) for n in _read(text, True).cells()})
+                    if any(row > MOST_ROW for _, row in own):
+                        continue
                 except (ValueError, TypeError):
                     continue
-            yield pd.DataFrame(rows, columns=["id", "variable", "row_index"])
+                ids += [key] * len(own)
+                names += [v for v, _ in own]
+                rows += [row for _, row in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(rows, pa.int32())], ["id", "variable", "row_index"])
+
+    return programs.select("id", "program").mapInArrow(run, "id long, variable string, row_index int")
 
-    return programs.select("id", "program").mapInPandas(run, "id long, variable string, row_index int")
+
+#: What a fact holds of a cell, and the largest row that a cell can have.
+FACT = ["variable", "row_index", "column_index", "source_unit", "numeric_value", "base_value", "ticker", "report_year", "column_label"]
+MOST_ROW = 2**31 - 1
 
 
 def run_batch(programs: DataFrame, candidates: DataFrame, cells: DataFrame, lenient: bool = False) -> DataFrame:
@@ -183,32 +206,35 @@ def run_batch(programs: DataFrame, candidates: DataFrame, cells: DataFrame, leni
     ``table_ref``.  Only rows of cells that programs name are joined; a group is
     one program's facts, bounded by the program's size.
     """
-    wanted = references(programs).join(candidates, ["id", "variable"])
-    facts = wanted.join(cells, ["table_ref", "row_index"]).select(
-        "id", F.struct("variable", "row_index", "column_index", "source_unit", "numeric_value", "base_value", "ticker", "report_year", "column_label").alias("f")
-    )
+    wanted = references(programs).join(candidates.select("id", "variable", "table_ref"), ["id", "variable"])
+    facts = wanted.join(cells.select("table_ref", *FACT[1:]), ["table_ref", "row_index"]).select("id", F.struct(*FACT).alias("f"))
     facts = facts.groupBy("id").agg(F.collect_list("f").alias("facts"))
-    joined = programs.join(facts, "id", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
+    asked = ["program", "target_unit", "target_divisor", "tickers", "years"]
+    joined = programs.select("id", *asked).join(facts, "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda v: None if v is None or v != v else v
+        for batch in batches:
+            listed = batch.column("facts")
+            parts = dict(zip(FACT, (x.to_pylist() for x in listed.flatten().flatten()), strict=True))
+            each = zip(*(parts[c] for c in FACT), strict=True)
+            out = []
+            for r in zip(*(batch.column(c).to_pylist() for c in asked), listed.value_lengths().to_pylist(), strict=True):
                 found: Facts = {}
-                for f in r["facts"] if r["facts"] is not None else ():
-                    null = lambda v: None if v is None or v != v else float(v)
-                    fact = Fact(f["source_unit"], null(f["numeric_value"]), null(f["base_value"]), f["ticker"], int(f["report_year"]), f["column_label"])
-                    found.setdefault((f["variable"], int(f["row_index"]), int(f["column_index"])), []).append(fact)
-                rows.append((r["id"], *_ground(r, found, lenient)))
-            yield pd.DataFrame(rows, columns=["id", "answer", "dimension", "error"])
+                for variable, row, column, unit, numeric, base, ticker, year, label in islice(each, r[-1] or 0):
+                    found.setdefault((variable, row, column), []).append(Fact(unit, number(numeric), number(base), ticker, year, label))
+                out.append(_ground(dict(zip(asked, r[:-1], strict=True)), found, lenient))
+            answers, dimensions, errors = zip(*out, strict=True) if out else ((), (), ())
+            arrays = [batch.column("id").cast(pa.int64()), pa.array(answers, pa.float64()), pa.array(dimensions, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "answer", "dimension", "error"])
 
-    return joined.mapInPandas(run, "id long, answer double, dimension string, error string")
+    return joined.mapInArrow(run, "id long, answer double, dimension string, error string")
 
 
 def _ground(r: dict, facts: Facts, lenient: bool) -> tuple[float | None, str | None, str | None]:
     listed = lambda x: [] if x is None else list(x)
     try:
-        raw = parse(r["program"], lenient)
+        raw = _read(r["program"], lenient)
         node, dimension = bind(raw, sorted(raw.variables()), facts, r["target_unit"], float(r["target_divisor"]), lenient)
         check_coverage(snap(raw, facts) if lenient else raw, facts, listed(r["tickers"]), [int(y) for y in listed(r["years"])], lenient)
         answer = evaluate(node, lambda n: getattr(facts[_at(n)][0], n["value"]))
