@@ -58,10 +58,28 @@ def question_audit(questions: DataFrame) -> DataFrame:
     )
 
 
-def _route_fits(ticker: str, year: str, scope: str) -> Column:
-    """Whether manifest columns fit a route; null asks for nothing, unknown scopes fit all."""
-    free = lambda c, v: F.col(c).isNull() | (F.col(c) == F.col(v))
-    return free(ticker, "own_ticker") & free(year, "own_year") & (F.col(scope).isNull() | F.col("own_scope").isin("unknown") | (F.col(scope) == F.col("own_scope")))
+def _served(asked: DataFrame, known: DataFrame, how: str, by: list[str] = []) -> DataFrame:
+    """Routes (``ticker``, ``year``, ``scope``) that fit a row of ``known`` (``left_semi``) or none (``left_anti``), within equal ``by``.
+
+    Null asks for nothing and the unknown scope fits all, so each known row
+    stands for every way of asking that it fits; then the join is one of equal
+    keys and never compares each with each.
+    """
+    keys = ["_ticker", "_year", "_scope"]
+    either = lambda c: F.explode(F.array_distinct(F.array(F.col(c), F.lit(None))))
+    known = known.select(*by, F.col("own_ticker").alias("_ticker"), F.col("own_year").alias("_year"), F.col("own_scope").alias("_scope")).distinct()
+    for k in keys:
+        known = known.withColumn(k, either(k))
+    known = known.distinct()
+    # A stated scope fits itself or the unknown one: two rows of one route, which then are counted as one.
+    routed = asked.withColumn("_route", F.struct("ticker", "year", "scope"))
+    scopes = F.when(F.col("scope").isNull(), F.array("scope")).otherwise(F.array_distinct(F.array("scope", F.lit("unknown"))))
+    ways = routed.select(*by, "_route").distinct().select(*by, "_route", F.col("_route.ticker").alias("_ticker"), F.col("_route.year").alias("_year"), F.col("_route.scope").alias("scope"))
+    ways = ways.select(*by, "_route", "_ticker", "_year", F.explode(scopes).alias("_scope"))
+    on = lambda names: [F.col(f"w.{c}").eqNullSafe(F.col(f"k.{c}")) for c in names]
+    fit = ways.alias("w").join(known.alias("k"), [*on(by), *on(keys)], "left_semi").select(*by, "_route").distinct()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*by, "_route")]
+    return routed.alias("r").join(fit.alias("f"), same, how).drop("_route")
 
 
 def retrieval_violations(retrieval: DataFrame, questions: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -84,10 +102,8 @@ def retrieval_violations(retrieval: DataFrame, questions: DataFrame, manifest: D
     wrong = outside("tickers", "own_ticker") | outside("years", "own_year") | (F.col("scope").isNotNull() & ~F.array_contains(widened_scope(F.col("scope")), F.col("own_scope")))
     out = out.union(code(refs.where(F.col("own_ticker").isNotNull() & F.coalesce(wrong, F.lit(False))), "wrong_metadata", F.col("table_ref")))
     asked = routes(r.select(F.col("id").alias("qid"), "tickers", "years", "scope")).select(F.col("qid").alias("id"), "ticker", "year", "scope").withColumn("route", F.concat_ws("/", "ticker", F.col("year").cast("string")))
-    known = facts.drop("table_ref").distinct()
-    can = asked.join(known, _route_fits("ticker", "year", "scope"), "left_semi")
-    hits = refs.where("own_ticker is not null").select(F.col("id").alias("rid"), "own_ticker", "own_year", "own_scope")
-    missed = can.join(hits, (F.col("id") == F.col("rid")) & _route_fits("ticker", "year", "scope"), "left_anti")
+    can = _served(asked, facts, "left_semi")
+    missed = _served(can, refs.where("own_ticker is not null"), "left_anti", ["id"])
     out = out.union(code(missed, "available_routes_missing", F.col("route")))
     if {"hybrid", "reranked", "reranker_scores"} <= set(r.columns):
         out = out.union(code(r.where(reranker_error().isNotNull()), "reranker_integrity", reranker_error()))
@@ -97,7 +113,7 @@ def retrieval_violations(retrieval: DataFrame, questions: DataFrame, manifest: D
 def unavailable_routes(retrieval: DataFrame, manifest: DataFrame) -> DataFrame:
     facts = manifest.select(F.col("ticker").alias("own_ticker"), F.col("report_year").alias("own_year"), F.col("scope").alias("own_scope")).distinct()
     asked = routes(retrieval.select(F.col("id").alias("qid"), "tickers", "years", "scope"))
-    return asked.join(facts, _route_fits("ticker", "year", "scope"), "left_anti").select(F.col("qid").alias("id"), "ticker", "year", "scope")
+    return _served(asked, facts, "left_anti").select(F.col("qid").alias("id"), "ticker", "year", "scope")
 
 
 def reranker_error() -> Column:
@@ -117,8 +133,15 @@ def reranker_error() -> Column:
 
 def taxonomy(found: DataFrame, examples: int = 100) -> DataFrame:
     """``code``, ``n`` and first ids of violations."""
-    ids = F.slice(F.array_sort(F.collect_set("id")), 1, examples)
-    return found.groupBy("code").agg(F.count("*").alias("n"), ids.alias("examples"))
+    return _counted(found, "code", examples, "examples")
+
+
+def _counted(rows: DataFrame, by: str, most: int, name: str) -> DataFrame:
+    """Rows of each value and its first distinct ids; all but these leave before a value's ids are brought together."""
+    first = rows.select(by, "id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("id")))).where(F.col("_n") <= most)
+    firsts = first.groupBy(by).agg(F.array_sort(F.collect_list("id")).alias(name)).withColumnRenamed(by, "_by")
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.join(firsts, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", name)
 
 
 def unreachable(target: Column, units: Column) -> Column:
@@ -148,7 +171,7 @@ def feasibility(rows: DataFrame, token_budget: int) -> DataFrame:
 
 def blocker_counts(audited: DataFrame, ids: int = 40) -> DataFrame:
     flat = audited.select("id", F.explode("blockers").alias("blocker"))
-    return flat.groupBy("blocker").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("id")), 1, ids).alias("ids"))
+    return _counted(flat, "blocker", ids, "ids")
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cellquarry.functions import numbers, plain, units
-from cellquarry.operators import tables
+from cellquarry.operators import quality, tables
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -50,3 +50,23 @@ def test_one_pass_gives_the_tables_and_cells_that_columns_give(spark):
 def test_batches_parse_their_reports_once(spark, name):
     plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan and plan.count("MapInArrow") == 2  # the cells are read back; programs are read and run
+
+
+def test_routes_are_served_by_equal_keys(spark):
+    known = [("A", 1, "unknown"), ("A", 2, "separate"), ("B", 1, "consolidated"), (None, 1, "separate"), ("C", None, None), ("A", 2, "separate")]
+    asked = [(i, t, y, s) for i, (t, y, s) in enumerate((t, y, s) for t in ("A", "B", "C", "D", None) for y in (1, 2, None) for s in ("separate", "consolidated", "unknown", None))]
+    fits = lambda a, k: a[1] in (None, k[0]) and a[2] in (None, k[1]) and (a[3] is None or k[2] == "unknown" or a[3] == k[2])
+    want = {a for a in asked if any(fits(a, k) for k in known)}
+    a = spark.createDataFrame(asked, "id int, ticker string, year int, scope string")
+    k = spark.createDataFrame([(i, *x) for i in range(len(asked)) for x in known], "id int, own_ticker string, own_year int, own_scope string")
+    for by in ([], ["id"]):
+        got = quality._served(a, k if by else k.drop("id"), "left_semi", by)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+        assert {tuple(r) for r in quality._served(a, k if by else k.drop("id"), "left_anti", by).collect()} == set(asked) - want
+    plan = __spark_entry__.queries()["retrieval_quality"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_first_ids_of_codes(spark):
+    rows = spark.createDataFrame([("a", i % 150) for i in range(400)] + [("b", 3), ("b", None)], "code string, id int")
+    assert {r["code"]: (r["n"], r["examples"]) for r in quality.taxonomy(rows).collect()} == {"a": (400, list(range(100))), "b": (2, [3])}
