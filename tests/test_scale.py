@@ -70,3 +70,10 @@ def test_routes_are_served_by_equal_keys(spark):
 def test_first_ids_of_codes(spark):
     rows = spark.createDataFrame([("a", i % 150) for i in range(400)] + [("b", 3), ("b", None)], "code string, id int")
     assert {r["code"]: (r["n"], r["examples"]) for r in quality.taxonomy(rows).collect()} == {"a": (400, list(range(100))), "b": (2, [3])}
+
+
+def test_tied_attempts_are_in_the_order_of_the_file(spark, tmp_path):
+    lines = [(1, 1, 5, "R"), (1, 1, 5, "A"), (2, 1, 5, "A"), (2, 1, 5, "R"), (3, 2, 5, "R"), (3, 1, 9, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "x") for i in (1, 2, 3)], "o_orderkey long, o_orderpriority string").write.parquet(f"file://{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in __spark_entry__.queries()["attempt_hits"](spark, f"file://{tmp_path}").collect()] == [("x", 3, 1, 3, 3)]
