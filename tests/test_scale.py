@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from cellquarry.functions import numbers, plain, units
 from cellquarry.operators import quality, tables
+from cellquarry.plans import interchange
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -77,3 +78,30 @@ def test_tied_attempts_are_in_the_order_of_the_file(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(i, "x") for i in (1, 2, 3)], "o_orderkey long, o_orderpriority string").write.parquet(f"file://{tmp_path}/orders.parquet")
     assert [tuple(r) for r in __spark_entry__.queries()["attempt_hits"](spark, f"file://{tmp_path}").collect()] == [("x", 3, 1, 3, 3)]
+
+
+TEXTS = [
+    "df1['x'].sum()", "df1.loc[(df1['x'] > df2['x'].min()) & (df1['y'] == 'a'), 'x'].mean()", "max(df1['x']) if len(df1['x']) > 1 else -1", "(_v0 := df1.loc[df1['y'] == 'a', 'x'], _v0.max() - _v0.min())[-1]", "round(df1['x'].round(1).median(), 0)",
+    "df1['x'].fillna(2).sum() / df2['x'].item()", "df1['x'].iloc[-1] ** 2 % 7", "sum([True, 1 < 2 and 2 < 1 or False, abs(-3)])", "float(df1['x'].iloc[5])", "min(1, float('nan'))", "sum(df1['x'])", "(_v1 := 1 > 2, 5 if _v1 else 6)[-1]",
+    "df1.loc[(df1['x'] >= df2.loc[df2['x'] > 0, 'x'].sum()) & (df1['x'] <= 9), 'x'].sum()",
+]
+
+
+def test_prepared_text_gives_what_direct_reading_gives():
+    direct = lambda text, frames: interchange._answer(interchange._Translator(interchange.Numbers, frames.get, None).value(interchange._parsed(text)))
+    rows = lambda xs: [{"x": x, "y": "ab"[i % 2]} for i, x in enumerate(xs)]
+    for a in ([3.0, 1.0, 8.25], [None, 2.0], [], [1.0, float("nan"), 4.04]):
+        for b in ([1.0], [], [0.5, -2.0]):
+            for text in TEXTS:
+                frames = {"df1": rows(a), "df2": rows(b)}
+                want = direct(text, frames)
+                assert interchange.evaluate_text(text, frames) == (None if want is None or want != want else want), text
+    with pytest.raises(interchange.ProgramError):
+        interchange.evaluate_text(TEXTS[1], {"df1": []})
+
+
+def test_text_is_read_once_for_many_frames(monkeypatch):
+    read = []
+    monkeypatch.setattr(interchange, "_parsed", lambda text, f=interchange._parsed: read.append(text) or f(text))
+    assert [interchange.evaluate_text("df1['x'].sum() + 0.125", {"df1": [{"x": float(i)}]}) for i in range(50)] == [i + 0.125 for i in range(50)]
+    assert len(read) == 1
