@@ -47,6 +47,18 @@ def test_one_pass_gives_the_tables_and_cells_that_columns_give(spark):
     assert rows(tables.parse_cells(odd_reports(spark))) == rows(tables.to_cells(named))
 
 
+def test_numbers_of_a_table_are_counted_as_its_coordinates(spark):
+    cells = tables.numeric_coordinates(tables.parse_cells(odd_reports(spark))).select("table_ref", F.size("at").alias("n"))
+    once = tables.parse_reports(odd_reports(spark), ["doc_id"], ["table_id", "n_numbers"]).where("n_numbers > 0").select(F.concat("doc_id", F.lit("|table_"), "table_id"), "n_numbers")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, cells.collect()))
+
+
+@pytest.mark.parametrize("name, passes", [("corpus_summary", 1), ("drifted_references", 0), ("table_contexts", 1), ("report_manifest", 1), ("report_cells", 1)])
+def test_reports_are_made_and_parsed_once(spark, name, passes):
+    plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == passes and plan.count("collect_list") == (name not in ("corpus_summary", "drifted_references"))
+
+
 @pytest.mark.parametrize("name", ["program_batch", "lenient_batch"])
 def test_batches_parse_their_reports_once(spark, name):
     plan = __spark_entry__.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
