@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,17 +116,111 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Rows of a block of documents, of a block of queries, and queries and pairs that are scored at once.
+DOC_BLOCK, QUERY_BLOCK, QUERY_STEP, PAIR_STEP = 16_384, 4_096, 256, 1_000_000
+
+
+def _unit_rows(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are whole vectors of ``dims`` numbers with a length, and all rows `normalized` (others as zeros); sums run in the order of the Columns."""
+    v = np.zeros((len(vectors), dims))
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(lengths == dims)
+    whole = np.zeros(len(vectors), bool)
+    if len(there):
+        flat = vectors.take(pa.array(there)).flatten()
+        filled = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(there), dims).any(axis=1)
+        v[there] = pc.fill_null(flat, 0).cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(there), dims)
+        whole[there] = filled
+    square = np.zeros(len(v))
+    with np.errstate(all="ignore"):
+        for d in range(dims):
+            square += v[:, d] * v[:, d]
+        length = np.sqrt(square)
+        whole &= (length != 0) | (dims == 0)  # a division by zero is null
+        return whole, np.where(whole[:, None], v / length[:, None], 0.0)
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half up, as the Column rounds the shortest text of a double."""
+    scaled = x * 10.0**digits
+    with np.errstate(all="ignore"):
+        out = np.rint(scaled) / 10.0**digits + 0.0
+        near = np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-3
+    for i in np.flatnonzero(near):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) + 0.0
+    return out
+
+
+def _best(whole: np.ndarray, v: np.ndarray, q: np.ndarray, top_k: int, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, document, score) of the best documents of each query, documents being in their order.
+
+    A product of matrices finds those that can be among them; their scores are
+    then summed in the order of the Columns and rounded, so ties are the same.
+    """
+    n = int(whole.sum())
+    at, own, k = np.flatnonzero(whole), v[whole], min(top_k, n)
+    for a in range(0, len(q) if k else 0, QUERY_STEP):
+        with np.errstate(all="ignore"):
+            scores = q[a : a + QUERY_STEP] @ own.T
+        scores[np.isnan(scores)] = np.inf  # a NaN is above all numbers
+        least = np.partition(scores, n - k, axis=1)[:, n - k] - 2 * 10.0**-digits
+        rows, columns = np.nonzero(scores >= least[:, None])
+        exact = np.zeros(len(rows))
+        with np.errstate(all="ignore"):
+            for b in range(0, len(rows), PAIR_STEP):
+                r, c, total = rows[b : b + PAIR_STEP] + a, columns[b : b + PAIR_STEP], exact[b : b + PAIR_STEP]
+                for d in range(q.shape[1]):
+                    total += own[c, d] * q[r, d]
+        exact = _rounded(exact, digits)
+        order = np.lexsort((columns, -np.where(np.isnan(exact), np.inf, exact), rows))
+        rows, columns, exact = rows[order], columns[order], exact[order]
+        first = np.searchsorted(rows, np.arange(len(scores)))
+        keep = np.arange(len(rows)) - first[rows] < k
+        yield rows[keep] + a, at[columns[keep]], exact[keep]
+
+
+def _block(docs: pa.Table, queries: pa.Table, top_k: int, digits: int) -> pa.Table:
+    """The best documents of one block for each query of one block."""
+    docs = docs.take(pc.sort_indices(docs["doc"], null_placement="at_start")).combine_chunks()
+    vectors, asked = (t[c].combine_chunks() for t, c in ((docs, "vector"), (queries.combine_chunks(), "vector")))
+    vectors, asked = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (vectors, asked))
+    lengths = pc.fill_null(pc.list_value_length(asked), -1).to_numpy(zero_copy_only=False)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for dims in np.unique(lengths):
+        at = np.flatnonzero(lengths == dims)
+        sound, q = _unit_rows(asked.take(pa.array(at)), max(int(dims), 0))
+        sound &= dims >= 0
+        whole, v = _unit_rows(vectors, max(int(dims), 0))
+        found += [(at[sound][r], c, s) for r, c, s in _best(whole, v, q[sound], top_k, digits)]
+        odd = np.flatnonzero(~whole)[:top_k]  # these have no score and come last, in their order
+        found += [(np.repeat(at[sound], len(odd)), np.tile(odd, int(sound.sum())), np.full(len(odd) * int(sound.sum()), np.inf))]
+        first = np.arange(min(top_k, len(vectors)))
+        found += [(np.repeat(at[~sound], len(first)), np.tile(first, int((~sound).sum())), np.full(len(first) * int((~sound).sum()), np.inf))]
+    rows, columns, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+    score = pa.array(scores.astype(float), mask=np.isposinf(scores.astype(float)))
+    return pa.table({"qid": queries["qid"].take(pa.array(rows)), "doc": docs["doc"].take(pa.array(columns)), "score": score})
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int, digits: int = 9, allowed: DataFrame | None = None) -> DataFrame:
     """Exact inner products of normalised vectors; ties by position (``doc``).
 
-    ``queries`` (``qid``, ``vector``) is a stated, counted set against all rows;
-    the cut to k happens in each partition before anything is shuffled.
+    Every query (``qid``, ``vector``) is compared with every row: in blocks of
+    bounded rows, each pair of blocks in one group, from which only k rows of a
+    query leave.  Vectors without a length or of another one have a null score.
     """
-    v = vectors.select("doc", normalized(F.col("vector")).alias("v"))
-    q = queries.select("qid", normalized(F.col("vector")).alias("q"))
-    scored = v.crossJoin(F.broadcast(q)) if allowed is None else v.join(allowed, "doc").join(small(q), "qid")
-    scored = scored.select("qid", "doc", F.round(dot(F.col("v"), F.col("q")), digits).alias("score"))
-    return top_ranked(scored, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
+    if allowed is not None:
+        v = vectors.select("doc", normalized(F.col("vector")).alias("v"))
+        q = queries.select("qid", normalized(F.col("vector")).alias("q"))
+        scored = v.join(allowed, "doc").join(small(q), "qid").select("qid", "doc", F.round(dot(F.col("v"), F.col("q")), digits).alias("score"))
+        return top_ranked(scored, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
+    blocks = lambda df, rows: max(1, -(-df.count() // rows))
+    n, m = blocks(vectors, DOC_BLOCK), blocks(queries, QUERY_BLOCK)
+    every = lambda k: F.explode(F.array(*map(F.lit, range(k)))) if k <= 64 else F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    v = vectors.select("doc", "vector", F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias("_d"), every(m).alias("_q"))
+    q = queries.select("qid", "vector", every(n).alias("_d"), F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int").alias("_q"))
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "qid"), (vectors, "doc"))) + ", score double"
+    found = v.groupBy("_d", "_q").cogroup(q.groupBy("_d", "_q")).applyInArrow(lambda a, b: _block(a, b, top_k, digits), kind)
+    return top_ranked(found, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
 
 
 @dataclass

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cellquarry.functions import numbers, plain, units
-from cellquarry.operators import quality, tables
+from cellquarry.operators import quality, search, tables
 from cellquarry.plans import interchange
 
 DATA = "/root/testdata/sf0.001"
@@ -117,3 +117,19 @@ def test_text_is_read_once_for_many_frames(monkeypatch):
     monkeypatch.setattr(interchange, "_parsed", lambda text, f=interchange._parsed: read.append(text) or f(text))
     assert [interchange.evaluate_text("df1['x'].sum() + 0.125", {"df1": [{"x": float(i)}]}) for i in range(50)] == [i + 0.125 for i in range(50)]
     assert len(read) == 1
+
+
+def test_dense_search_by_blocks_is_that_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(search, "DOC_BLOCK", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    r = random.Random(2)
+    vectors = [[round(r.gauss(0, 1), 1) for _ in range(4)] for _ in range(150)] + [[1.0, 0.0, 0.0, 0.0]] * 30
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 1.0], [1.0, 2.0], [float("nan"), 1.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0]]
+    v = spark.createDataFrame(list(enumerate(vectors + odd)), "doc long, vector array<float>").repartition(5)
+    q = v.where("doc % 9 = 0 or doc >= 178").select(F.col("doc").alias("qid"), "vector")
+    n = lambda c: search.normalized(F.col(c))
+    for k, digits in ((3, 6), (12, 2)):
+        pairs = v.crossJoin(q.withColumnRenamed("vector", "other")).select("qid", "doc", F.round(search.dot(n("vector"), n("other")), digits).alias("score"))
+        want = search.top_ranked(pairs, ["qid"], [F.desc("score"), F.asc("doc")], k)
+        rows = lambda df: sorted(map(repr, df.collect()))
+        assert rows(search.dense_search(v, q, k, digits)) == rows(want)
