@@ -9,6 +9,7 @@ from ..functions.arrays import fill
 from ..functions.numbers import is_close
 from ..functions.text import content_words
 from ..functions.units import dimension
+from ..sources.shared import dealt
 
 # Phrases that ask for a difference without a direction.
 UNDIRECTED = r"(?iuU)\b(chênh\s+lệch|khác\s+biệt|cách\s+biệt|chênh\s+nhau)\b"
@@ -128,7 +129,7 @@ def best_cells(cells: DataFrame, questions: DataFrame) -> DataFrame:
     of equal cells the first by table, row and column is taken.
     """
     asked = questions.select("qid", content_words(F.col("question")).alias("words"), F.transform("years", lambda y: y.cast("string")).alias("wanted"))
-    scored = cells.where("numeric_value is not null").join(asked, "qid")
+    scored = dealt(cells.where("numeric_value is not null"), "qid").join(asked, "qid")
     year = F.exists("wanted", lambda y: F.contains(F.col("column_label"), y))
     scored = scored.withColumn("score", 2 * F.size(F.array_intersect("words", content_words(F.col("row_label")))) + F.when(year, 3).otherwise(0))
     number = F.regexp_extract("variable", r"(\d+)$", 1).cast("int")

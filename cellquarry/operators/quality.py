@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import covered_years
 from ..functions.numbers import is_close, percentile_or_zero
 from ..functions.units import TARGET_DIMENSION, dimension
+from ..sources.shared import dealt
 from .ranking import routes, seeded, widened_scope
 
 MOST_CELLS = 32
@@ -213,9 +214,11 @@ def check_fingerprints(prints: list[str], indexes: list[int]) -> None:
 
 def merge_outputs(predictions: DataFrame, errors: DataFrame, traces: DataFrame) -> DataFrame:
     """``id``, ``code`` of rows that are both predicted and failed, or traced without a prediction or the other way."""
-    p, e, t = (df.select("id").distinct() for df in (predictions, errors, traces))
-    code = lambda df, name: df.select("id", F.lit(name).alias("code"))
-    return code(p.intersect(e), "BOTH").union(code(p.exceptAll(t), "NO_TRACE")).union(code(t.exceptAll(p), "NO_PREDICTION"))
+    held = [df.select("id", *[F.lit(i == k).alias(c) for k, c in enumerate("pet")]) for i, df in enumerate((predictions, errors, traces))]
+    every = dealt(held[0].union(held[1]).union(held[2]), "id").groupBy("id").agg(*[F.max(c).alias(c) for c in "pet"])
+    p, e, t = map(F.col, "pet")
+    codes = F.array_compact(F.array(F.when(p & e, "BOTH"), F.when(p & ~t, "NO_TRACE"), F.when(t & ~p, "NO_PREDICTION")))
+    return every.select("id", F.explode(codes).alias("code"))
 
 
 def file_conflicts(files: DataFrame) -> DataFrame:
