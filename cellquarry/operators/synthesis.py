@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from ..functions.units import dimension
 LEAST_LABEL, LEAST_DENOMINATOR, MOST_PERCENT, MOST_VALUE = 12, 1e9, 500.0, 1e16
 SUBITEM_MARKS = ("-", "+", "*", "•", "–", "(")
 ROLLFORWARD = ("số dư", "số cuối", "số đầu", "tại ngày", "cộng", "tổng cộng phát sinh")
+#: A label that begins with a mark; a folded one that is not empty, begins with no digit and names no rollforward.
+_MARKED = f"^[{''.join(map(re.escape, SUBITEM_MARKS))}]"
+_ITEM = f"(?s)^(?![0-9])(?!.*(?:{'|'.join(ROLLFORWARD)}))."
 FAMILY_WEIGHTS = {"lookup": 0.357, "ratio": 0.116, "change": 0.116, "extremum": 0.198, "conditional": 0.213}
 
 
@@ -22,8 +27,7 @@ def usable_tables(manifest: DataFrame) -> DataFrame:
 def askable(label: Column) -> Column:
     """Whether a label names one line item by itself."""
     own, folded = F.trim(label), fold_label_native(label)
-    marked = F.exists(F.array(*map(F.lit, SUBITEM_MARKS)), lambda m: own.startswith(m)) | F.exists(F.array(*map(F.lit, ROLLFORWARD)), lambda m: F.contains(folded, m))
-    return (F.length(own) >= LEAST_LABEL) & ~marked & (folded != "") & ~folded.rlike("^[0-9]")
+    return (F.length(own) >= LEAST_LABEL) & ~own.rlike(_MARKED) & folded.rlike(_ITEM)  # one test, as each would fold the label anew
 
 
 def askable_cells(cells: DataFrame) -> DataFrame:
@@ -47,10 +51,11 @@ def lookups(cells: DataFrame) -> DataFrame:
 
 def ratios(cells: DataFrame) -> DataFrame:
     """Every line item as a percentage of the largest of its table, if that is large enough."""
-    fit = askable_cells(cells).where(dimension(F.col("source_unit")) != "UNKNOWN").withColumn("dim", dimension(F.col("source_unit")))
-    largest = F.max(F.struct(F.abs("base_value").alias("size"), (-F.col("row_index")).alias("at"), F.col("base_value").alias("value"), F.col("row_label").alias("label"), F.col("dim").alias("dim")))
+    fit = askable_cells(cells).where(dimension(F.col("source_unit")) != "UNKNOWN").withColumns({"dim": dimension(F.col("source_unit")), "folded": fold_label_native(F.col("row_label"))})
+    named = [F.col("row_label").alias("label"), F.col("folded").alias("folded"), F.col("dim").alias("dim")]
+    largest = F.max(F.struct(F.abs("base_value").alias("size"), (-F.col("row_index")).alias("at"), F.col("base_value").alias("value"), *named))
     out = fit.withColumn("den", largest.over(Window.partitionBy("table_ref", "column_index")))
-    out = out.where((F.col("den.size") >= LEAST_DENOMINATOR) & (fold_label_native(F.col("row_label")) != fold_label_native(F.col("den.label"))) & (F.col("dim") == F.col("den.dim")))
+    out = out.where((F.col("den.size") >= LEAST_DENOMINATOR) & (F.col("folded") != F.col("den.folded")) & (F.col("dim") == F.col("den.dim")))
     out = out.withColumn("answer", F.try_divide("base_value", F.col("den.value")) * 100).where((F.abs("answer") <= MOST_PERCENT) & (F.col("answer") != 0))
     return out.select("table_ref", "row_index", "column_index", "row_label", F.col("den.label").alias("of_label"), "answer")
 

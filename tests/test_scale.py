@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from cellquarry.functions import numbers, plain, units
-from cellquarry.operators import quality, search, tables
+from cellquarry.functions import numbers, plain, text, units
+from cellquarry.operators import quality, search, synthesis, tables
 from cellquarry.plans import interchange
+from cellquarry.sources import shared
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -133,3 +134,26 @@ def test_dense_search_by_blocks_is_that_of_columns(spark, monkeypatch):
         want = search.top_ranked(pairs, ["qid"], [F.desc("score"), F.asc("doc")], k)
         rows = lambda df: sorted(map(repr, df.collect()))
         assert rows(search.dense_search(v, q, k, digits)) == rows(want)
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id int")
+    out = quality.merge_outputs(ids(*range(1000), 1, None), ids(5, 2000, None), ids(*range(3, 1003), None))
+    assert out.rdd.getNumPartitions() == 21
+    want = [(5, "BOTH"), (None, "BOTH"), (0, "NO_TRACE"), (1, "NO_TRACE"), (2, "NO_TRACE"), *((i, "NO_PREDICTION") for i in (1000, 1001, 1002))]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    plan = __spark_entry__.queries()["fallback_cells"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "l_orderkey" not in plan  # the join is not made twice
+
+
+def test_askable_labels(spark):
+    labels = ["Doanh thu thuần", "- Doanh thu thuần", "(Doanh thu thuần)", "• Doanh thu thuần", "Tổng cộng phát sinh", "Số dư đầu kỳ năm", "12 tháng của năm", "!!!!!!!!!!!!!!", "ngắn", "  Chi phí bán hàng ", "Cộng các khoản mục", "Tại ngày 31/12/2024", "Chi phí tại xưởng", "", None, "+ Lãi tiền gửi khác"]
+    frame = spark.createDataFrame([(x,) for x in labels], "x string")
+    own, folded = F.trim("x"), text.fold_label_native(F.col("x"))
+    marked = F.exists(F.array(*map(F.lit, synthesis.SUBITEM_MARKS)), lambda m: own.startswith(m)) | F.exists(F.array(*map(F.lit, synthesis.ROLLFORWARD)), lambda m: F.contains(folded, m))
+    want = (F.length(own) >= synthesis.LEAST_LABEL) & ~marked & (folded != "") & ~folded.rlike("^[0-9]")
+    both = frame.select(F.coalesce(want, F.lit(False)), F.coalesce(synthesis.askable(F.col("x")), F.lit(False))).collect()
+    assert [r[0] for r in both] == [r[1] for r in both] and sum(r[0] for r in both) == 3
+    plan = __spark_entry__.queries()["shares_of_largest"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") == 0 and plan.count("lower(") == 2  # a label is folded to test it and to compare it
