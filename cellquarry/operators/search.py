@@ -7,6 +7,7 @@ joins before scoring, so they prune instead of masking scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
@@ -17,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import search_text
+from ..sources.shared import stored
 
 K1, B = 1.5, 0.75
 TOKEN = r"(?U)\b\w\w+\b"
@@ -92,6 +95,79 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int, allowed: DataFra
     return top_ranked(scored, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
 
 
+#: Numbers of a matrix of query weights that a task holds, and of a matrix of documents scored at once.
+MOST_WEIGHTS, DOC_WEIGHTS = 20_000_000, 4_000_000
+
+
+def search_texts(docs: DataFrame, doc: str, text: str, queries: DataFrame, top_k: int, digits: int = 9) -> DataFrame:
+    """`search` of texts that have no index: their words are read once and scored against all queries by matrix products.
+
+    Of each document the length and the counts of words that some query has are
+    kept; other words give no score.  Large sets of queries, and tables in which
+    a document stands twice, go by way of an index.
+    """
+    general = lambda: search(build_index(docs, doc, text), queries, top_k, digits=digits)
+    wanted = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = wanted.limit(BROADCAST_ROWS + 1).collect()
+    qids, vocabulary = list({r["qid"]: None for r in asked}), sorted({r["term"] for r in asked})
+    if not asked or len(asked) > BROADCAST_ROWS or len(qids) * len(vocabulary) > MOST_WEIGHTS:
+        return general()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+            at = pc.index_in(words.flatten().cast(pa.string()), pa.array(vocabulary, pa.string()))
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            pairs = np.repeat(np.arange(len(lengths)), lengths)[known] * len(vocabulary) + pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[known]
+            pairs, counts = np.unique(pairs, return_counts=True)
+            offsets = np.searchsorted(pairs // len(vocabulary), np.arange(len(lengths) + 1)).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int32)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(lengths.astype(np.int32)), listed(pairs % len(vocabulary)), listed(counts)], ["doc", "length", "at", "tf"])
+
+    kind = docs.schema[doc].dataType.simpleString()
+    words = docs.select(F.col(doc).alias("doc"), tokenize(F.coalesce(text, F.lit(""))).alias("words"))
+    held = stored(words.mapInArrow(count, f"doc {kind}, length int, at array<int>, tf array<int>"), "words")
+    totals = held.agg(F.count("*").alias("n"), F.avg("length").alias("average"), F.countDistinct("doc").alias("docs")).first()
+    if totals["n"] == 0 or totals["docs"] != totals["n"]:
+        return general()
+    n, average = totals["n"], totals["average"] or 1.0
+    df = {r["at"]: r["df"] for r in held.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect()}
+    weights, place, column = np.zeros((len(vocabulary), len(qids))), {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+    for r in asked:
+        if own := df.get(place[r["term"]]):
+            weights[place[r["term"]], column[r["qid"]]] = r["qtf"] * math.log(1 + (n - own + 0.5) / (own + 0.5))
+    step = max(1, DOC_WEIGHTS // max(len(vocabulary), len(qids)))
+    shared = held.sparkSession.sparkContext.broadcast(weights)
+    qid_kind = queries.schema["qid"].dataType
+    keys = held.sparkSession.createDataFrame([(i, q) for i, q in enumerate(qids)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("qid", qid_kind)]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("doc"), null_placement="at_start"))
+            sizes, lengths = (batch.column("at").value_lengths().to_numpy(zero_copy_only=False), batch.column("length").to_numpy(zero_copy_only=False))
+            at, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "tf"))
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for a in range(0, batch.num_rows, step):
+                b = min(a + step, batch.num_rows)
+                own = slice(starts[a], starts[b])
+                row, matrix = np.repeat(np.arange(b - a), sizes[a:b]), np.zeros((b - a, len(w)))
+                matrix[row, at[own]] = tf[own] / (tf[own] + K1 * (1 - B + B * lengths[a:b][row] / average))
+                scores = (matrix @ w).T
+                k = min(top_k, b - a)
+                least = np.partition(scores, b - a - k, axis=1)[:, b - a - k] - 2 * 10.0**-digits
+                q, d = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                rounded = _rounded(scores[q, d], digits)
+                order = np.lexsort((d, -rounded, q))
+                q, d, rounded = q[order], d[order], rounded[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(scores)))[q] < k
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep].astype(np.int32)), batch.column("doc").take(pa.array(d[keep] + a)), pa.array(rounded[keep])], ["_q", "doc", "score"])
+
+    found = held.mapInArrow(score, f"_q int, doc {kind}, score double").join(F.broadcast(keys), "_q").select("qid", "doc", "score")
+    return top_ranked(found, ["qid"], [F.desc("score"), F.asc("doc")], top_k)
+
+
 def top_ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """A dense 1-based ``rank`` in each group, cut at k."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

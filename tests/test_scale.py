@@ -157,3 +157,19 @@ def test_askable_labels(spark):
     assert [r[0] for r in both] == [r[1] for r in both] and sum(r[0] for r in both) == 3
     plan = __spark_entry__.queries()["shares_of_largest"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("exists(") == 0 and plan.count("lower(") == 2  # a label is folded to test it and to compare it
+
+
+def test_texts_are_searched_as_by_an_index(spark, monkeypatch):
+    monkeypatch.setattr(search, "DOC_WEIGHTS", 200)
+    r = random.Random(3)
+    words = [f"từ{i}" for i in range(40)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(120)] + ["từ1 từ2"] * 15 + [None, "", "x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "từ1 từ2 từ2"), ("b", "Từ5 khác từ7 từ9"), ("c", "nothing"), ("d", None)], "qid string, text string")
+    rows = lambda df: sorted((x["qid"], x["rank"], x["doc"], round(x["score"], 6)) for x in df.collect())
+    want = rows(search.search(search.build_index(docs, "id", "text"), asked, 7, digits=6))
+    assert len(want) == 14 and rows(search.search_texts(docs, "id", "text", asked, 7, digits=6)) == want
+    twice = docs.union(docs.limit(5))
+    assert rows(search.search_texts(twice, "id", "text", asked, 7, digits=6)) == rows(search.search(search.build_index(twice, "id", "text"), asked, 7, digits=6))
+    with pytest.raises(ValueError):
+        search.search_texts(docs.limit(0), "id", "text", asked, 7)
